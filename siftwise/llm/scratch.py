@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -53,6 +54,11 @@ class Scratch:
             if table is not None:
                 self._delete(table._scratch_path)
 
+    def release(self) -> None:
+        """Lets Spark delete shuffle files whose DataFrames are gone, before more are written."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def _delete(self, path: str) -> None:
         jvm = self.spark._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)

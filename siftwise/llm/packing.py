@@ -10,7 +10,9 @@ piece by piece. Pieces then find their place in the plan by length and rank.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -25,7 +27,7 @@ from siftwise.llm.scratch import Scratch
 CAPACITY = 4096
 END_ID = 1
 #: Words that a worker remembers the ids of, and the longest such word in bytes.
-MEMO_WORDS, MEMO_BYTES = 300_000, 48
+MEMO_WORDS, MEMO_BYTES = 500_000, 48
 
 
 class CapacityTree:
@@ -95,32 +97,71 @@ def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[str,
     return dict(zip(("length", "rank", "bin", "each", "offset"), table.T, strict=True))
 
 
+def _byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: printable ones stand for themselves."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
 class WordMemo:
     """Token ids of whole texts, word by word.
 
-    The vocabulary's rules drop white space and never join text across it, so a text's ids are
-    its words' ids in turn. Ids are held as little-endian bytes.
+    The vocabulary's rules drop white space, never join text across it and ignore case, so a text's ids are its
+    lower-case words' ids in turn. A word of letters alone is one piece to the rules and goes to the merges
+    directly; a full stop or comma after letters is a piece of its own; any other word goes through all rules.
+    Ids are held as little-endian bytes. Two generations of words are remembered: a full one
+    becomes the old one, and words met again move on.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        if word.isalpha():  # of bytes: ASCII letters
+            return array("I", [t.id for t in self.model.tokenize(word.decode())]).tobytes()
+        if word[-1] in b".," and len(word) > 1 and (97 <= word[-2] <= 122):
+            return self._get(word[:-1]) + self._get(word[-1:])
+        text = word.decode()
+        if text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text):
+            return array("I", [t.id for t in self.model.tokenize("".join([self.letters[b] for b in word]))]).tobytes()
+        return self._whole(text)
+
+    def _learn(self, words: set[bytes]) -> list[bytes]:
+        """Makes all words known; returns those too long to be remembered."""
+        known, old = self.known, self.old
+        new = words.difference(known)
+        for w in new:
+            ids = old.get(w)
+            known[w] = self._word(w) if ids is None else ids
+        return [w for w in new if len(w) > MEMO_BYTES]
+
+    def _get(self, word: bytes) -> bytes:
+        ids = self.known.get(word) or self.old.get(word)
+        if ids is None:
+            ids = self.known[word] = self._word(word)
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode().split() for t in texts]
-        known = self.known
-        new = [w for w in {w for ws in split for w in ws} if w not in known]
-        if len(known) + len(new) > MEMO_WORDS:
-            known = self.known = {}
-            new = list({w for ws in split for w in ws})
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found, strict=True))
-        out = [b"".join(map(known.__getitem__, ws)) for ws in split]
-        for w in new:
-            if len(w) > MEMO_BYTES:
-                del known[w]
+        if len(self.known) > MEMO_WORDS:
+            self.known, self.old = {}, self.known
+        odd = ["<|" in t for t in texts]  # may hold the name of a special token
+        # lower() and split() of bytes: A-Z, and the six ASCII white spaces
+        split = [[] if o else t.encode().lower().split() for t, o in zip(texts, odd, strict=True)]
+        long = self._learn(set().union(*split))
+        ids = self.known.__getitem__
+        out = [self._whole(t) if o else b"".join(map(ids, ws)) for t, ws, o in zip(texts, split, odd, strict=True)]
+        for w in long:
+            del self.known[w]
         return out
 
 

@@ -56,11 +56,11 @@ def _keys(passes: int, seed: int):
     return run
 
 
-def _met(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _met(a: np.ndarray, b: np.ndarray, block: int, overlap: int) -> np.ndarray:
     """Whether ranks a and b are in one window."""
     low, high = np.minimum(a, b), np.maximum(a, b)
-    gap = high // BLOCK - low // BLOCK
-    return (gap == 0) | ((gap == 1) & (high % BLOCK < OVERLAP))
+    gap = high // block - low // block
+    return (gap == 0) | ((gap == 1) & (high % block < overlap))
 
 
 def _links(x: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -92,31 +92,31 @@ def _rows(a, b, dim: int, turn: int, block: int, reach: int | None) -> pa.Table:
     return pa.Table.from_arrays(columns, schema=OUT)
 
 
-def _window(threshold: float):
+def _window(threshold: float, size: int, overlap: int):
     def run(table: pa.Table) -> pa.Table:
         dim, turn, block = (table.column(c)[0].as_py() for c in ("dim", "turn", "block"))
         rid, ranks, x = table.column("rid").to_numpy(), _matrix(table.column("ranks")).astype(np.int64), _matrix(table.column("embedding"))
         x = x / np.abs(x).max(axis=1, keepdims=True)
-        own = ranks[:, turn] // BLOCK == block
+        own = ranks[:, turn] // size == block
         mine, all_ = np.flatnonzero(own), np.arange(len(rid))
         i, j = _links(x, mine, all_, threshold)
-        once = (ranks[i, turn] < ranks[j, turn]) & ~_met(ranks[i, :turn], ranks[j, :turn]).any(axis=1)
-        reaches = (~own[j]) & (ranks[j, turn] % BLOCK >= OVERLAP * 3 // 4)
+        once = (ranks[i, turn] < ranks[j, turn]) & ~_met(ranks[i, :turn], ranks[j, :turn], size, overlap).any(axis=1)
+        reaches = (~own[j]) & (ranks[j, turn] % size >= overlap * 3 // 4)
         return _rows(rid[i[once]], rid[j[once]], dim, turn, block, block if reaches.any() else None)
 
     return run
 
 
-def _beyond(threshold: float):
+def _beyond(threshold: float, size: int, overlap: int):
     def run(table: pa.Table) -> pa.Table:
         """Block `block` against block `other`; only pairs that no pass's window holds."""
         dim, turn, block, other = (table.column(c)[0].as_py() for c in ("dim", "turn", "block", "other"))
         rid, ranks, x = table.column("rid").to_numpy(), _matrix(table.column("ranks")).astype(np.int64), _matrix(table.column("embedding"))
         x = x / np.abs(x).max(axis=1, keepdims=True)
-        at = ranks[:, turn] // BLOCK
+        at = ranks[:, turn] // size
         i, j = _links(x, np.flatnonzero(at == block), np.flatnonzero(at == other), threshold)
-        new = ~_met(ranks[i], ranks[j]).any(axis=1)
-        reaches = ranks[j, turn] % BLOCK >= BLOCK * 3 // 4
+        new = ~_met(ranks[i], ranks[j], size, overlap).any(axis=1)
+        reaches = ranks[j, turn] % size >= size * 3 // 4
         a, b = np.minimum(rid[i[new]], rid[j[new]]), np.maximum(rid[i[new]], rid[j[new]])
         return _rows(a, b, dim, turn, block, other if reaches.any() else None)
 
@@ -146,7 +146,7 @@ def _all_links(reps: DataFrame, scratch: Scratch, threshold: float, miss: float,
     each = placed.select("*", F.posexplode("ranks").alias("turn", "rank")).withColumn("block", F.floor(F.col("rank") / BLOCK))
     also = (F.col("rank") % BLOCK < OVERLAP) & (F.col("block") > 0)
     windows = each.withColumn("block", F.explode(F.when(also, F.array("block", F.col("block") - 1)).otherwise(F.array("block"))))
-    found = scratch.save(windows.groupBy("dim", "turn", "block").applyInArrow(_window(threshold), OUT_SQL))
+    found = scratch.save(windows.groupBy("dim", "turn", "block").applyInArrow(_window(threshold, BLOCK, OVERLAP), OUT_SQL))
     links = found.filter("a is not null").select("a", "b")
     # windows whose links reach their end: the next blocks, one, then two, four, ... at a time
     open_ = found.filter("block is not null").select("dim", "turn", "block", F.col("reach").alias("_from"))
@@ -157,7 +157,7 @@ def _all_links(reps: DataFrame, scratch: Scratch, threshold: float, miss: float,
         right = each.withColumnRenamed("block", "other").join(jobs, ["dim", "turn", "other"])
         names = ["dim", "turn", "block", "other", "rid", "ranks", "embedding"]
         both = left.select(names).unionByName(right.select(names))
-        found = scratch.save(both.groupBy("dim", "turn", "block", "other").applyInArrow(_beyond(threshold), OUT_SQL))
+        found = scratch.save(both.groupBy("dim", "turn", "block", "other").applyInArrow(_beyond(threshold, BLOCK, OVERLAP), OUT_SQL))
         more = found.filter("a is not null").select("a", "b")
         extra = more if extra is None else extra.unionByName(more)
         last = open_.select("dim", "turn", "block", (F.col("_from") + step).alias("reach"))

@@ -33,6 +33,12 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def shuffle_hash() -> Column:
+    """A document's place in its source: a hash of its id and text, in hexadecimal digits."""
+    text = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), text).cast("binary"))
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """From source and source_size: weight_no, weight and target.
 
@@ -54,7 +60,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
         .withColumn("_total", F.sum("source_size").over(everything))
         .withColumn("_level", level)
         # the first source in order of ratio that its share does not fill sets the level
-        .withColumn("_level", F.min_by("_level", F.when(F.col("_level") <= F.col("_ratio"), F.col("_ratio"))).over(everything))
+        .withColumn("_level", F.min_by("_level", F.when(F.col("_level") <= F.col("_ratio"), F.struct("_ratio", "weight_no"))).over(everything))
         .withColumn("target", F.coalesce(F.least("_cap", F.col("_level") * F.col("weight")), F.col("_cap")))
         .select("source", "source_size", "weight_no", "target")
     )
@@ -96,13 +102,13 @@ def mix_documents(
     scratch = Scratch(docs.sparkSession, "mix")
     kept = [F.col(k).alias(f"_keep_{k}") for k in keep]
     slim = scratch.save(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("_hash"), *kept)
+        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), shuffle_hash().alias("_hash"), *kept)
     )
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
     targets = scratch.save(source_targets(sizes.drop("_rows"), weights, share, most))
     rows = slim.count()
     bits = min(30, max(1, math.ceil(math.log2(max(1, rows / BUCKET_ROWS)))))
-    bucketed = slim.withColumn("_bucket", F.shiftrightunsigned("_hash", 64 - bits))
+    bucketed = slim.withColumn("_bucket", F.shiftright(F.conv(F.substring("_hash", 1, 8), 16, 10).cast("long"), 32 - bits))
     earlier = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         bucketed.groupBy("source", "_bucket")

@@ -73,7 +73,54 @@ QUERIES = {
     )
 }
 
+def _inverse_sql(done: str, schedule) -> str:
+    """mixing.demand_inverse in SQL."""
+    steps = len(schedule) - 1
+    areas = [(a + b) / 2 / steps for a, b in zip(schedule, schedule[1:], strict=False)]
+    total, at, cases = sum(areas), 0.0, []
+    real = lambda x: f"CAST({x!r} AS DOUBLE)"
+    for k, area in enumerate(areas):
+        a, slope = schedule[k], (schedule[k + 1] - schedule[k]) * steps
+        need = f"greatest({done} * {real(total)} - {real(at)}, {real(0.0)})"
+        root = f"sqrt(greatest({real(a * a)} + {need} * {real(2 * slope)}, {real(0.0)}))"
+        at += area
+        cases.append(f"WHEN {done} * {real(total)} <= {real(at)} THEN least({real(k / steps)} + {need} * 2 / ({real(a)} + {root}), {real((k + 1) / steps)})")
+    return f"CASE {' '.join(cases)} ELSE 1.0 END"
+
+
+def _position_sql(turn: int) -> str:
+    done = f"((before_it + source_size * {turn}) / CAST(greatest(whole, 1) AS DOUBLE))"
+    n = len(mixing.SCHEDULES)
+    cases = " ".join(f"WHEN k % {n} = {i} THEN {_inverse_sql(done, s)}" for i, s in enumerate(mixing.SCHEDULES))
+    return f"CASE WHEN piece{turn} > 0 THEN CASE {cases} END END"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_mixing": f"""
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+                md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS h FROM documents
+        ), s AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS k FROM d GROUP BY source
+        ), w AS (
+            SELECT *, CASE k % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight, source_size * 2.0::DOUBLE AS cap FROM s
+        ), r AS (
+            SELECT *, cap / weight AS ratio, coalesce(sum(cap) OVER (ORDER BY cap / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS capped,
+                sum(weight) OVER (ORDER BY cap / weight, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open,
+                CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM w
+        ), l AS (SELECT *, (total * 1.5::DOUBLE - capped) / open AS level FROM r),
+        c AS (SELECT level FROM l WHERE level <= ratio ORDER BY ratio, k LIMIT 1),
+        t AS (SELECT l.*, coalesce(least(cap, (SELECT level FROM c) * weight), cap) AS target FROM l),
+        p AS (
+            SELECT d.doc_id, d.source, d.size, t.source_size, t.target, t.k, CAST(least(CAST(round(t.target) AS BIGINT), t.source_size * 2) AS BIGINT) AS whole,
+                CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before_it
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+        ), q AS (
+            SELECT *, greatest(least(whole - before_it, size), 0) AS piece0, greatest(least(whole - source_size - before_it, size), 0) AS piece1 FROM p
+        )
+        SELECT doc_id, source, CAST(size AS BIGINT) AS size, source_size, target, CAST(piece0 + piece1 AS BIGINT) AS taken,
+            {_position_sql(0)} AS position, {_position_sql(1)} AS repeat_position FROM q
+    """,
     "op2_embedding_dedup": """
         WITH RECURSIVE v AS (
             SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings

@@ -133,7 +133,8 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, scratch: Scratch) -> Dat
     )
     with_entity = scratch.save(with_entity.groupBy("term").agg(F.max("with_entity").alias("with_entity")))
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), 1))).alias("term"))
-    counts = _listed(words, with_entity).groupBy("term", "with_entity").agg(F.count(F.lit(1)).alias("documents"))
+    # counted before the join, so that what is joined is a vocabulary and not all its occurrences
+    counts = _listed(words.groupBy("term").agg(F.count(F.lit(1)).alias("documents")), with_entity)
     share = F.least(F.col("with_entity") / F.col("documents"), F.lit(1.0))
     action = F.when(share >= REMOVE, "remove").otherwise("generalise")
     return scratch.save(counts.filter(share >= GENERALISE).select("term", share.alias("share"), action.alias("action")))

@@ -25,18 +25,22 @@ def leaf_hashes(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), lambda p: F.transform(F.regexp_extract_all(p, F.lit(cut), 1), lambda s: F.xxhash64(s)))
 
 
+def _node_hash(children: Column) -> Column:
+    """128 bits over the children's hashes in order, so equal nodes mean equal branches."""
+    return F.md5(F.array_join(children, ",").cast("binary"))
+
+
 def paragraph_hashes(leaves: Column) -> Column:
-    return F.transform(leaves, lambda p: F.xxhash64(p))
+    return F.transform(leaves, lambda p: _node_hash(F.transform(p, lambda h: h.cast("string"))))
 
 
 def section_hashes(paragraphs: Column) -> Column:
     starts = F.sequence(F.lit(1), F.size(paragraphs), F.lit(SECTION_PARAGRAPHS))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(paragraphs, i, SECTION_PARAGRAPHS)))
+    return F.transform(starts, lambda i: _node_hash(F.slice(paragraphs, i, SECTION_PARAGRAPHS)))
 
 
 def root_hash(sections: Column, paragraphs: Column) -> Column:
-    parts = F.concat(F.array(F.size(paragraphs).cast("long")), sections)
-    return F.sha2(F.array_join(F.transform(parts, lambda h: h.cast("string")), ","), 256)
+    return F.sha2(F.concat_ws(",", F.size(paragraphs).cast("string"), F.array_join(sections, ",")), 256)
 
 
 def with_tree(df: DataFrame, text: str, prefix: str = "") -> DataFrame:

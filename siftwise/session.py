@@ -190,6 +190,8 @@ class TransferSession:
         return frame(self.spark, rewritten(self.spark, plan, predicates))
 
     def _display(self, t: Transfer, config: TransferConfig) -> None:
+        if log.isEnabledFor(logging.DEBUG):
+            log.debug("%s\n%s", levels_text(t.plan, t.names), steps_text(t.steps, t.plan, t.names))
         if config.display_dag:
             print(tree_text(t.plan, t.names) if config.heuristic == "largest_root" else levels_text(t.plan, t.names))
         if config.display_physical_dag:

@@ -28,6 +28,7 @@ CAPACITY = 4096
 END_ID = 1
 #: Words that a worker remembers the ids of, and the longest such word in bytes.
 MEMO_WORDS, MEMO_BYTES = 500_000, 48
+PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class CapacityTree:
@@ -109,7 +110,7 @@ class WordMemo:
 
     The vocabulary's rules drop white space, never join text across it and ignore case, so a text's ids are its
     lower-case words' ids in turn. A word of letters alone is one piece to the rules and goes to the merges
-    directly; a full stop or comma after letters is a piece of its own; any other word goes through all rules.
+    directly; ASCII punctuation after letters is a piece of its own; any other word goes through all rules.
     Ids are held as little-endian bytes. Two generations of words are remembered: a full one
     becomes the old one, and words met again move on.
     """
@@ -129,12 +130,13 @@ class WordMemo:
     def _word(self, word: bytes) -> bytes:
         if word.isalpha():  # of bytes: ASCII letters
             return array("I", [t.id for t in self.model.tokenize(word.decode())]).tobytes()
-        if word[-1] in b".," and len(word) > 1 and (97 <= word[-2] <= 122):
-            return self._get(word[:-1]) + self._get(word[-1:])
-        text = word.decode()
+        stem = word.rstrip(PUNCTUATION)
+        text = stem.decode()
         if text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text):
+            if len(stem) < len(word):
+                return self._get(stem) + self._get(word[len(stem) :])
             return array("I", [t.id for t in self.model.tokenize("".join([self.letters[b] for b in word]))]).tobytes()
-        return self._whole(text)
+        return self._whole(word.decode())
 
     def _learn(self, words: set[bytes]) -> list[bytes]:
         """Makes all words known; returns those too long to be remembered."""

@@ -167,6 +167,16 @@ def test_harness_reports_errors_and_differences(spark):
     assert "1 of 3 agree" in summary(outcomes)
 
 
+def test_harness_with_a_baseline(spark, tmp_path, capsys):
+    from siftwise.harness import main
+
+    file = str(tmp_path / "baseline.json")
+    asked = ["--data", DATA, "--query", "q5_region_revenue", "empty_build", "anti_join", "--limit", "2"]
+    assert main([*asked, "--save-baseline", file]) == 0
+    assert main([*asked, "--baseline", file, "--heuristic", "join_order", "--verbose"]) == 0
+    assert "2 of 2 agree" in capsys.readouterr().out
+
+
 def test_stream_is_reduced(spark, tmp_path):
     from siftwise.streaming.static_side import reduce_stream
 

@@ -34,7 +34,9 @@ from siftwise.llm.scratch import Scratch
 #: Bytes of a repeated string, and of an anchor.
 LENGTH, GRAM = 100, 24
 #: Text that a task looks at at once; anchors and suffixes that a group holds, on average.
-CHUNK_BYTES, GROUP_ANCHORS, GROUP_SUFFIXES = 24_000_000, 400_000, 40_000
+CHUNK_BYTES, GROUP_ANCHORS, GROUP_SUFFIXES = 12_000_000, 200_000, 16_000
+#: Rows taken from a batch at once, and rows of a byte-by-byte comparison.
+SLICE, COMPARED = 256, 1 << 13
 SLAB_BITS = 17
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -50,7 +52,7 @@ class Powers:
     @classmethod
     def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
-            size = max(n, 2 * len(cls.up), 1 << 16)
+            size = max(n + n // 4, 1 << 16)
             for name, base in (("up", _BASE), ("down", _INVERSE)):
                 row = np.full(size, base, np.uint64)
                 row[0] = 1
@@ -186,8 +188,8 @@ def _find(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in batches:
-            for doc, digest, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for part in slices(batches):
+            for doc, digest, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 if len(text) >= LENGTH:
                     held.append((doc, digest, text))
                     size += len(text)
@@ -229,15 +231,22 @@ def _resolve(table: pa.Table) -> pa.Table:
     return pa.concat_tables([_table(len(later), **_repeats(docs, later)), asks])
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of few rows, as texts may be long."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The surroundings of each anchor asked for in a document."""
     names = ["bucket", "gram", "doc_id", "digest", "begin", "place", "bytes"]
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for doc, digest, text, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             rows += [(a["bucket"], a["gram"], doc, digest, a["begin"], a["place"], text[a["begin"] : a["end"]]) for a in asked]
-            if len(rows) > 50_000:
+            if len(rows) > 20_000:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
                 rows = []
         if rows:
@@ -303,8 +312,8 @@ def _exact_common(data: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarr
     """Common extensions byte by byte, of LENGTH at most."""
     out = np.empty(len(a), np.int64)
     steps, last = np.arange(LENGTH), len(data) - 1
-    for k in range(0, len(a), 1 << 15):
-        s = slice(k, k + (1 << 15))
+    for k in range(0, len(a), COMPARED):
+        s = slice(k, k + COMPARED)
         i = np.minimum(a[s, None] + steps, last)
         j = np.minimum(b[s, None] + steps, last)
         same = (data[i] == data[j]) & (steps < most[s, None])
@@ -357,7 +366,7 @@ def repeated_strings(table: pa.Table) -> pa.Table:
         first = k[np.maximum.accumulate(np.where(head, np.arange(len(k)), 0))]
         later = np.flatnonzero(~head)
         i, j = begin[k[later]], begin[first[later]]
-        same = np.concatenate([(text.data[i[c : c + 32768, None] + steps] == text.data[j[c : c + 32768, None] + steps]).all(axis=1) for c in range(0, len(i), 32768)] or [np.empty(0, bool)])
+        same = np.concatenate([(text.data[i[c : c + COMPARED, None] + steps] == text.data[j[c : c + COMPARED, None] + steps]).all(axis=1) for c in range(0, len(i), COMPARED)] or [np.empty(0, bool)])
         who = order[k[later[same]]]
         repeated[who, anchor[who] - before - start[who]] = True
     flat = np.diff(np.concatenate((np.zeros((n, 1), np.int8), repeated.astype(np.int8)), axis=1), axis=1)
@@ -370,7 +379,7 @@ def repeated_strings(table: pa.Table) -> pa.Table:
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for doc, text, spans, copy in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             cuts: list[list[int]] = [[0, len(text)]] if copy > 1 and len(text) >= LENGTH else []

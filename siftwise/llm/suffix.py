@@ -14,7 +14,8 @@ whose anchor it is, and its surroundings are the bytes that they cover:
    passage that a third of all documents hold sends one row from each task.
 2. Where a k-gram has several classes, as at the ends of a shared passage, their first occurrences fetch
    their surroundings and are sorted as suffixes; runs of the sort with long enough common extensions,
-   to the right by the sort and to the left by hash, are equal strings.
+   to the right by the sort and to the left by hash, are equal strings. A k-gram with very many classes is not left to one
+   task: its strings are dealt by two 64-bit hashes, and the first of each is found by a map-side combined minimum.
 3. The documents join what was found in them and drop it.
 """
 
@@ -37,6 +38,8 @@ LENGTH, GRAM = 100, 24
 CHUNK_BYTES, GROUP_ANCHORS, GROUP_SUFFIXES = 12_000_000, 200_000, 16_000
 #: Rows taken from a batch at once, and rows of a byte-by-byte comparison.
 SLICE, COMPARED = 256, 1 << 13
+#: Surroundings of one k-gram beyond which its strings are compared by hash, dealt by that hash.
+HOT_SUFFIXES = 100_000
 SLAB_BITS = 17
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -253,6 +256,28 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hashes of all strings of the surroundings asked for in a document."""
+    from xxhash import xxh128_digest
+
+    names = ["doc_id", "digest", "begin", "one", "two"]
+    for batch in slices(batches):
+        for doc, digest, text, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            begin = [p for a in asked for p in range(a["begin"], a["end"] - LENGTH + 1)]
+            hashes = np.frombuffer(b"".join([xxh128_digest(text[p : p + LENGTH]) for p in begin]), "<i8").reshape(-1, 2)
+            yield pa.record_batch([pa.array([doc] * len(begin), pa.int64()), pa.array([digest] * len(begin), pa.int64()), pa.array(begin, pa.int32()), pa.array(hashes[:, 0]), pa.array(hashes[:, 1])], names=names)
+
+
+def _hot_ranges(rows: DataFrame, per_doc: DataFrame) -> DataFrame:
+    """Repeated ranges among the strings of k-grams with very many classes."""
+    asked = rows.join(per_doc, ["doc_id", "digest"]).select("doc_id", "digest", "text", "asked")
+    strings = asked.mapInArrow(_strings, "doc_id long, digest long, begin int, one long, two long")
+    order = F.struct("doc_id", "digest", "begin")
+    firsts = strings.groupBy("one", "two").agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    later = strings.join(firsts, ["one", "two"]).filter(order != F.col("_first"))
+    return later.select("doc_id", "digest", "begin", (F.col("begin") + LENGTH).alias("end"))
+
+
 def suffix_order(text: Hashed, begin: np.ndarray, end: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Order of the suffixes text[begin:end] by group, then bytes: a bottom-up mergesort.
 
@@ -417,12 +442,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     found = scratch.save(dealt.groupBy(spread.alias("_bucket")).applyInArrow(_meet, _FOUND_SQL))
     scratch.release()
     asked = found.filter(F.col("kind") == ASKED)
-    groups = max(1, math.ceil(asked.count() / GROUP_SUFFIXES))
+    hot = scratch.save(asked.groupBy("gram").count().filter(F.col("count") > HOT_SUFFIXES).select("gram"))
+    crowded = bool(hot.limit(1).count())
+    few = asked.join(hot, "gram", "left_anti") if crowded else asked
+    groups = max(1, math.ceil(few.count() / GROUP_SUFFIXES))
     bucket = F.pmod(F.shiftright("gram", 20), F.lit(groups)).cast("int").alias("bucket")
-    per_doc = asked.groupBy("doc_id", "digest").agg(F.collect_list(F.struct(bucket, "gram", "begin", "end", "place")).alias("asked"))
+    asking = lambda some: some.groupBy("doc_id", "digest").agg(F.collect_list(F.struct(bucket, "gram", "begin", "end", "place")).alias("asked"))
+    per_doc = asking(few)
     fetched = rows.join(per_doc, ["doc_id", "digest"]).select("doc_id", "digest", "text", "asked")
     fetched = fetched.mapInArrow(_cut, "bucket int, gram long, doc_id long, digest long, begin int, place int, bytes binary")
-    edges = scratch.save(fetched.groupBy("bucket").applyInArrow(repeated_strings, _FOUND_SQL).select("doc_id", "digest", "begin", "end"))
+    edges = fetched.groupBy("bucket").applyInArrow(repeated_strings, _FOUND_SQL).select("doc_id", "digest", "begin", "end")
+    if crowded:
+        edges = edges.unionByName(_hot_ranges(rows, asking(asked.join(hot, "gram", "left_semi"))))
+    edges = scratch.save(edges)
     scratch.release()
     ranges = found.filter(F.col("kind") == REPEATED).select("doc_id", "digest", "begin", "end").unionByName(edges)
     per_doc = ranges.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))

@@ -52,6 +52,15 @@ def test_real_documents(spark):
     assert found(docs) == expected([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
+def test_crowded_grams_are_dealt_by_string(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT_SUFFIXES", 2)
+    draw = random.Random(5)
+    words = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
+    line = words(180)
+    texts = [words(draw.randint(10, 200)) + line + words(draw.randint(10, 200)) for _ in range(25)] + awkward()
+    assert found(documents(spark, texts)) == expected(list(enumerate(texts)))
+
+
 def test_anchors_cover_all_strings_and_agree(monkeypatch):
     """Each string start belongs to one anchor, equal strings to anchors of one gram and place, across slabs too."""
     for bits in (17, 8):

@@ -8,6 +8,8 @@ from pyspark.sql.internal import InternalFunction
 
 #: Bits for each key, the fewest bits, and the most that Spark builds.
 BITS_PER_KEY, LEAST_BITS, MOST_BITS = 12, 512, 1 << 26
+#: Filters of more bytes are not written into the plan, whose text would grow with them, but read by a subquery.
+LITERAL_BYTES = 1 << 16
 
 
 def bits_for(keys: int) -> int:
@@ -29,6 +31,9 @@ def bloom_aggregate(hashes: Column, keys: int) -> Column:
 def might_contain(spark: SparkSession, filter_: bytes, hashes: Column) -> Column:
     """False only where the hash is not among those that the filter was built from."""
     jvm, session = spark._jvm, spark._jsparkSession
-    literal, probe = (session.expression(c._jc) for c in (F.lit(bytearray(filter_)), hashes))
-    test = jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain(literal, probe)
+    held = F.lit(bytearray(filter_))
+    if len(filter_) > LITERAL_BYTES:
+        held = spark.createDataFrame([(bytearray(filter_),)], "filter binary").scalar()
+    known, probe = (session.expression(c._jc) for c in (held, hashes))
+    test = jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain(known, probe)
     return Column(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(test))

@@ -28,6 +28,14 @@ def test_rows_in_every_mode(spark, name, mode):
     assert canonical(core.run(spark, DATA, name, **mode).collect()) == canonical(core.plain(spark, DATA, name).collect())
 
 
+@pytest.mark.parametrize("name", ["q5_region_revenue", "multi_col_key", "anti_join"])
+def test_large_filters_are_read_by_subqueries(spark, monkeypatch, name):
+    monkeypatch.setattr("siftwise.functions.bloom.LITERAL_BYTES", 0)
+    made = core.run(spark, DATA, name)
+    assert canonical(made.collect()) == canonical(core.plain(spark, DATA, name).collect())
+    assert "scalar-subquery" in made._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_two_tables_are_left_alone(spark):
     core.register_tables(spark, DATA, core.BIG)
     df = spark.sql(core.QUERIES["two_table_noop"].sql)

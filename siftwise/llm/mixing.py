@@ -23,8 +23,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
 #: Schedules that go with WEIGHTS: early, level, late.
 SCHEDULES = ((1.5, 1.0, 0.5), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5))
-#: Rows of one source that one window partition holds, on average.
-BUCKET_ROWS = 20_000
+#: Rows of one source that one window partition holds, on average, in tables up to SCALE_ROWS; beyond, its square root's share more.
+BUCKET_ROWS, SCALE_ROWS = 2_000, 10_000_000
 #: White space is fixed: the space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -87,7 +87,6 @@ def mix_documents(
     schedules: Sequence[Sequence[float]] = SCHEDULES,
     share: float = SHARE,
     most: float = MOST,
-    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Returns doc_id, source, size, source_size, target, taken, position, repeat_position.
 
@@ -96,18 +95,24 @@ def mix_documents(
     position and repeat_position (null: no such turn) are training times from 0 to 1 of the first and
     the second turn. A null text or one without words has size 0 and is never taken; a null source is a
     source; ties in hash order are rows with equal doc_id and text, which may change places;
-    an empty table gives no rows; columns of docs besides doc_id, text, source and those in `keep`
-    are not read, and the names above stand for the operator's own. Rows are sorted by position, those without one last.
+    an empty table gives no rows; columns of docs besides doc_id, text and source are not read.
+    Rows are sorted by position, those without one last.
     """
+    mixed = _mixed(docs, weights, schedules, share, most).drop("_hash")
+    return mixed.orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
+def _mixed(docs: DataFrame, weights: Sequence[float], schedules: Sequence[Sequence[float]], share: float, most: float) -> DataFrame:
+    """The rows of mix_documents() in any order, with the documents' hashes."""
     scratch = Scratch(docs.sparkSession, "mix")
-    kept = [F.col(k).alias(f"_keep_{k}") for k in keep]
     slim = scratch.save(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), shuffle_hash().alias("_hash"), *kept)
+        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), shuffle_hash().alias("_hash"))
     )
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
     targets = scratch.save(source_targets(sizes.drop("_rows"), weights, share, most))
     rows = slim.count()
-    bits = min(30, max(1, math.ceil(math.log2(max(1, rows / BUCKET_ROWS)))))
+    per = BUCKET_ROWS * max(1.0, math.sqrt(rows / SCALE_ROWS))
+    bits = min(30, max(1, math.ceil(math.log2(max(1, rows / per)))))
     bucketed = slim.withColumn("_bucket", F.shiftright(F.conv(F.substring("_hash", 1, 8), 16, 10).cast("long"), 32 - bits))
     earlier = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -147,32 +152,40 @@ def mix_documents(
             sum(pieces[1:], pieces[0]).cast("long").alias("taken"),
             position(0).alias("position"),
             (position(1) if turns > 1 else F.lit(None).cast("double")).alias("repeat_position"),
-            *[F.col(f"_keep_{k}").alias(k) for k in keep],
+            "_hash",
         )
-        .orderBy(F.col("position").asc_nulls_last(), "doc_id")
     )
 
 
-def taken_documents(docs: DataFrame, **how) -> DataFrame:
+def taken_documents(
+    docs: DataFrame,
+    weights: Sequence[float] = WEIGHTS,
+    schedules: Sequence[Sequence[float]] = SCHEDULES,
+    share: float = SHARE,
+    most: float = MOST,
+) -> DataFrame:
     """The mix as documents: a row for each turn of a document, in the order of training.
 
     A turn taken in part has the first words of the text, white space between them kept, and
     n_chars accordingly. Columns are those of docs.
     """
-    inner = [c for c in docs.columns if c not in ("doc_id", "source")]
-    body = docs.select("doc_id", "source", "text", F.struct(*inner).alias("_body"))
-    mixed = mix_documents(body, keep=("_body",), **how)
-    full = F.array_repeat(F.lit(-1).cast("long"), F.floor(F.col("taken") / F.col("size")).cast("int"))
-    part = F.when(F.col("taken") % F.col("size") > 0, F.array(F.col("taken") % F.col("size"))).otherwise(F.array().cast("array<bigint>"))
-    text = F.col("_body.text")
-    head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"([\x20\x09-\x0D]*{WORD})"), 1), 1, F.col("_words").cast("int")), "")
-    cut = F.when(F.col("_words") < 0, text).otherwise(head)
-    turns = (
-        mixed.filter(F.col("taken") > 0)
-        .select("doc_id", "source", "_body", F.explode(F.concat(full, part)).alias("_words"))
-        .withColumn("_text", cut)
-    )
-    values = {"doc_id": F.col("doc_id"), "source": F.col("source"), "text": F.col("_text")}
-    if "n_chars" in inner:
+    mixed = _mixed(docs, weights, schedules, share, most).filter(F.col("taken") > 0)
+    first = F.least("taken", "size")
+    turns = F.array(F.struct(F.col("position").alias("at"), first.alias("words"), (first < F.col("size")).alias("part")))
+    rest = F.col("taken") - F.col("size")
+    again = F.array(F.struct(F.col("repeat_position").alias("at"), rest.alias("words"), (rest < F.col("size")).alias("part")))
+    each = mixed.select("_hash", F.when(rest > 0, F.concat(turns, again)).otherwise(turns).alias("turns"))
+    # equal rows pool their turns; the first of them has them all
+    pooled = each.groupBy(F.col("_hash").alias("_of")).agg(F.flatten(F.collect_list("turns")).alias("_turns"))
+    named = docs.select(*[F.col(c).alias(f"d_{c}") for c in docs.columns], shuffle_hash().alias("_doc"))
+    joined = named.join(pooled, F.col("_doc") == F.col("_of"))
+    copy = F.row_number().over(Window.partitionBy("_of").orderBy(F.lit(0)))
+    once = joined.withColumn("_copy", copy).filter("_copy = 1").withColumn("_turn", F.explode("_turns"))
+    ordered = once.repartitionByRange("_turn.at").sortWithinPartitions("_turn.at", "_of")
+    pieces = F.regexp_extract_all("d_text", F.lit(rf"([\x20\x09-\x0D]*{WORD})"), 1)
+    head = F.array_join(F.slice(pieces, 1, F.col("_turn.words").cast("int")), "")
+    cut = ordered.withColumn("_text", F.when(F.col("_turn.part"), head).otherwise(F.col("d_text")))
+    values = {"text": F.col("_text")}
+    if "n_chars" in docs.columns:
         values["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
-    return turns.select(*[values.get(c, F.col("_body")[c]).alias(c) for c in docs.columns])
+    return cut.select(*[values.get(c, F.col(f"d_{c}")).alias(c) for c in docs.columns])

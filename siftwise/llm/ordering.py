@@ -14,11 +14,14 @@ CHUNK_ROWS = 50_000
 
 
 def with_place(stored: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Adds _file, _row and _chunk to a DataFrame that reads Parquet files directly."""
+    """Adds _file, _row and _chunk to a DataFrame that reads Parquet files directly.
+
+    _file is a hash of the file's path: any order of files will do, and two files with one hash only share chunks.
+    """
     row = F.col("_metadata.row_index")
     return stored.select(
         "*",
-        F.col("_metadata.file_path").alias("_file"),
+        F.xxhash64("_metadata.file_path").alias("_file"),
         row.alias("_row"),
         F.floor(row / F.lit(chunk_rows)).alias("_chunk"),
     )

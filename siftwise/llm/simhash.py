@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwise.llm import shingles
 from siftwise.llm.graph import components
 from siftwise.llm.scratch import Scratch
 
@@ -178,8 +179,12 @@ def simhash_components(docs: DataFrame, words: int = WORDS, radius: int = RADIUS
     )
 
 
-def keep_one_of_each(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """The documents whose doc_id is their component's least, one row of each; columns of docs."""
-    kept = simhash_components(docs, words, radius).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+def keep_one_of_each(docs: DataFrame, words: int = shingles.WORDS, similarity: float = shingles.SIMILARITY) -> DataFrame:
+    """The documents whose doc_id is the least of their near copies, one row of each; columns of docs.
+
+    Near copies are rows connected by exact Jaccard similarities of their sets of word shingles; op1's fingerprints
+    take no part, as a radius that holds pairs of similarity 0.8 is beyond ball hashing.
+    """
+    kept = shingles.near_copies(docs, words, similarity).filter("first.doc_id is not null").select(F.col("first.doc_id").alias("_kept")).distinct()
     kept_docs = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
     return kept_docs.dropDuplicates(["doc_id"])

@@ -180,11 +180,13 @@ def simhash_components(docs: DataFrame, words: int = WORDS, radius: int = RADIUS
 
 
 def keep_one_of_each(docs: DataFrame, words: int = shingles.WORDS, similarity: float = shingles.SIMILARITY) -> DataFrame:
-    """The documents whose doc_id is the least of their near copies, one row of each; columns of docs.
+    """One row of each group of near copies; columns of docs.
 
+    The row with the least doc_id stays, null doc_ids last; among rows with one doc_id that of the least hash of
+    doc_id and text. Rows that share a doc_id but not the text are told apart; of rows equal in both any one stays.
     Near copies are rows connected by exact Jaccard similarities of their sets of word shingles; op1's fingerprints
     take no part, as a radius that holds pairs of similarity 0.8 is beyond ball hashing.
     """
-    kept = shingles.near_copies(docs, words, similarity).filter("first.doc_id is not null").select(F.col("first.doc_id").alias("_kept")).distinct()
-    kept_docs = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
-    return kept_docs.dropDuplicates(["doc_id"])
+    kept = shingles.near_copies(docs, words, similarity).select(F.col("first.row_key").alias("_kept"))
+    kept_docs = docs.withColumn("_row_key", shingles.row_key()).join(kept, F.col("_row_key") == F.col("_kept"), "left_semi")
+    return kept_docs.dropDuplicates(["_row_key"]).drop("_row_key")

@@ -59,3 +59,12 @@ def test_repeats_do_not_make_texts_similar(spark):
     line = "the same line once more and again"
     texts = ["\n".join([line] * 50 + [f"{c}{k}" for k in range(20)]) for c in "pq"]
     assert kept(documents(spark, texts)) == [0, 1]
+
+
+def test_rows_and_not_ids_are_kept(spark):
+    """Null doc_ids, and one doc_id with several texts."""
+    text = lambda c: " ".join(f"{c}{k}" for k in range(30))
+    rows = [(None, "a"), (None, "b"), (None, "b"), (1, "c"), (1, "d"), (2, "c"), (None, "d"), (3, "e"), (3, "e"), (4, "f"), (None, "f")]
+    docs = documents(spark, [text(c) for _, c in rows], ids=[i for i, _ in rows])
+    found = [(r["doc_id"], r["text"][0]) for r in simhash.keep_one_of_each(docs).collect()]
+    assert sorted(found, key=lambda r: r[1]) == [(None, "a"), (None, "b"), (1, "c"), (1, "d"), (3, "e"), (4, "f")]

@@ -115,27 +115,22 @@ def _listed(rows: DataFrame, terms: DataFrame) -> DataFrame:
 def disclosing_terms(found: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """From stored spans and their surroundings, and all documents: term, share and action.
 
-    A term counts once for each document. Copies of a text are one surrounding each, so
-    copying alone supports no term.
+    A term counts once for each document (row) that has it near an entity, in however many surroundings. Copies
+    of a text are one surrounding each, so copying alone supports no term.
     """
-    near = found.select("doc_id", "text_hash", F.explode("near").alias("n")).select(
-        "doc_id", "text_hash", "n.entity", F.xxhash64("n.terms").alias("around"), F.explode(F.array_distinct("n.terms")).alias("term")
-    )
+    # no entity and no term holds a line break
+    met = lambda n: F.transform(F.array_distinct(n["terms"]), lambda t: F.concat(n["entity"], F.lit("\n"), t))
+    once = found.select(F.explode(F.array_distinct(F.flatten(F.transform("near", met)))).alias("pair"))
+    each = found.select(F.explode("near").alias("n")).select(F.explode(met(F.col("n"))).alias("pair"), F.xxhash64("n.terms").alias("around"))
     # first by surroundings: a map-side combined count, however often a passage was copied
-    with_entity = (
-        near.groupBy("entity", "term", "around", "doc_id", "text_hash")
-        .agg(F.count(F.lit(1)).alias("_times"))
-        .groupBy("entity", "term", "around")
-        .agg(F.count(F.lit(1)).alias("documents"))
-        .groupBy("entity", "term")
-        .agg(F.count(F.lit(1)).alias("support"), F.sum("documents").alias("with_entity"))
-        .filter(F.col("support") >= MIN_SUPPORT)
-    )
+    support = each.groupBy("pair", "around").count().groupBy("pair").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= MIN_SUPPORT)
+    with_entity = once.groupBy("pair").agg(F.count(F.lit(1)).alias("with_entity")).join(support, "pair")
+    with_entity = with_entity.withColumn("term", F.substring_index("pair", "\n", -1))
     with_entity = scratch.save(with_entity.groupBy("term").agg(F.max("with_entity").alias("with_entity")))
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), 1))).alias("term"))
     # counted before the join, so that what is joined is a vocabulary and not all its occurrences
     counts = _listed(words.groupBy("term").agg(F.count(F.lit(1)).alias("documents")), with_entity)
-    share = F.least(F.col("with_entity") / F.col("documents"), F.lit(1.0))
+    share = F.col("with_entity") / F.col("documents")
     action = F.when(share >= REMOVE, "remove").otherwise("generalise")
     return scratch.save(counts.filter(share >= GENERALISE).select("term", share.alias("share"), action.alias("action")))
 

@@ -94,3 +94,10 @@ def test_repeated_rows_and_empty_table(spark):
     docs = documents(spark, ["a@b.c", "a@b.c", None, None], ids=[1, 1, None, None])
     assert sorted(r["n_email"] for r in pii.find_personal_data(docs).collect()) == [0, 0, 1, 1]
     assert pii.find_personal_data(docs.limit(0)).count() == 0 and pii.sanitise(docs.limit(0)).count() == 0
+
+
+def test_a_document_counts_once(spark):
+    """One text names an address in many surroundings; the word beside it stands in nine other texts too."""
+    log = "\n".join(f"{w}one {w}two billing ops@example.org {w}four {w}five" for w in ("red", "blue", "green", "brown", "black"))
+    docs = documents(spark, [log, *[f"billing matter of {w}" for w in "abcdefghi"]])
+    assert [r["n_term"] for r in pii.find_personal_data(docs).orderBy("doc_id").collect()][1:] == [0] * 9

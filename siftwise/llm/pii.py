@@ -27,8 +27,10 @@ PATTERNS = {
 }
 #: What a text has if it holds a kind; cheap, and asked first.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
-TERM = r"(\p{L}{4,})"
-#: Words on either side of an entity, and code points looked at for them.
+#: A term is any word, of whatever length: letters, digits and marks.
+IN_WORD = r"[\p{L}\p{M}\p{N}]"
+TERM = rf"({IN_WORD}++)"
+#: Words on either side of an entity, and code points looked at for them; words cut by that bound are left out.
 NEAR_WORDS, NEAR_CHARS = 5, 80
 #: Distinct surroundings in which a term must stand near one entity; shares of its documents.
 MIN_SUPPORT, GENERALISE, REMOVE = 3, 0.5, 0.9
@@ -100,6 +102,11 @@ def _terms_near(text: Column, span: Column) -> Column:
     """Terms among the words next to a span, in order."""
     left = F.substring(text, F.greatest(span["start"] - NEAR_CHARS, F.lit(0)) + 1, F.least(span["start"], F.lit(NEAR_CHARS)))
     right = F.substring(text, span["end"] + 1, F.lit(NEAR_CHARS))
+    # one code point more tells whether the bound cuts a word
+    outside = F.substring(text, F.greatest(span["start"] - NEAR_CHARS, F.lit(1)), F.when(span["start"] > NEAR_CHARS, 1).otherwise(0))
+    left = F.when(outside.rlike(IN_WORD), F.regexp_replace(left, rf"^{IN_WORD}++", "")).otherwise(left)
+    beyond = F.substring(text, span["end"] + NEAR_CHARS + 1, F.lit(1))
+    right = F.when(beyond.rlike(IN_WORD), F.regexp_replace(right, rf"(?<!{IN_WORD}){IN_WORD}++$", "")).otherwise(right)
     before = F.regexp_extract_all(F.lower(left), F.lit(TERM), 1)
     after = F.regexp_extract_all(F.lower(right), F.lit(TERM), 1)
     before = F.slice(before, F.greatest(F.size(before) - NEAR_WORDS, F.lit(0)) + 1, F.lit(NEAR_WORDS))
@@ -159,7 +166,7 @@ def _with_spans(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
     lines = text.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(offset).alias("x"))
     words = lines.select("doc_id", "text_hash", "x", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("x.line"), F.lit(TERM), 1))).alias("term"))
     hit = _listed(words, terms)
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})"), F.col("term"), F.lit(r"(?!\p{L})"))
+    pattern = F.concat(F.lit(rf"(?iu)(?<!{IN_WORD})"), F.col("term"), F.lit(rf"(?!{IN_WORD})"))
     places = hit.select("doc_id", "text_hash", "action", F.col("x.at").alias("at"), F.explode(_located(F.col("x.line"), pattern, len(KINDS))).alias("s"))
     span = F.struct(F.lit(len(KINDS)).alias("kind"), (F.col("at") + F.col("s.start")).alias("start"), (F.col("at") + F.col("s.end")).alias("end"), "action")
     hits = places.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(span)).alias("term_spans"))

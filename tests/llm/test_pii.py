@@ -101,3 +101,19 @@ def test_a_document_counts_once(spark):
     log = "\n".join(f"{w}one {w}two billing ops@example.org {w}four {w}five" for w in ("red", "blue", "green", "brown", "black"))
     docs = documents(spark, [log, *[f"billing matter of {w}" for w in "abcdefghi"]])
     assert [r["n_term"] for r in pii.find_personal_data(docs).orderBy("doc_id").collect()][1:] == [0] * 9
+
+
+def test_short_words_and_handles_are_terms(spark):
+    names = ("Lee", "李明", "bob42", "नमः")
+    fruit = ("apples", "pears", "plums", "figs")
+    texts = [f"note {w}: {n} <box{k}@example.org> likes {w}" for k, n in enumerate(names) for w in fruit]
+    rows = pii.find_personal_data(documents(spark, [*texts, *names])).orderBy("doc_id").collect()
+    assert [r["spans"] for r in rows[len(texts) :]] == [f"term:0:{len(n)}" for n in names]
+
+
+def test_neighbourhood_is_cut_at_words(spark):
+    """No part of a word that the bound cuts is a term; the same words by themselves stay."""
+    half = "k" * (pii.NEAR_CHARS - 1)
+    texts = [f"{w} tail{half} a@b.org {half}tail {w}" for w in ("one", "two", "six", "ten")]
+    rows = pii.find_personal_data(documents(spark, [*texts, half])).orderBy("doc_id").collect()
+    assert rows[-1]["n_term"] == 0

@@ -12,9 +12,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwise.llm.ordering import field, in_order, unpacked, with_ranks
 from siftwise.llm.scratch import Scratch
 
 #: Weights of the sources in code point order, null last, repeating.
@@ -23,8 +24,6 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
 #: Schedules that go with WEIGHTS: early, level, late.
 SCHEDULES = ((1.5, 1.0, 0.5), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5))
-#: Rows of one source that one window partition holds, on average, in tables up to SCALE_ROWS; beyond, its square root's share more.
-BUCKET_ROWS, SCALE_ROWS = 2_000, 10_000_000
 #: White space is fixed: the space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -39,31 +38,28 @@ def shuffle_hash() -> Column:
     return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), text).cast("binary"))
 
 
-def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """From source and source_size: weight_no, weight and target.
+def source_targets(sizes: DataFrame, scratch: Scratch, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """From stored source and source_size: weight_no and target.
 
     A target is least(most * source_size, level * weight), with the one level at which the
-    targets sum up to share times all sizes. Sources are a vocabulary: one row each.
+    targets sum up to share times all sizes. Sources are numbered and summed up by range sorts, so there
+    may be as many as there are documents.
     """
-    everything = Window.partitionBy()
-    by_name = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    by_ratio = Window.orderBy("_ratio", "weight_no")
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.col("_total") * F.lit(float(share)) - F.col("_capped")) / F.col("_open")
-    return (
-        sizes.withColumn("weight_no", F.row_number().over(by_name) - 1)
-        .withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("weight_no") % len(weights) + 1))
+    named = with_ranks(in_order(sizes, scratch, F.col("source").isNull(), "source"), [], "weight_no")
+    named = (
+        named.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("weight_no") % len(weights) + 1).cast("int")))
         .withColumn("_cap", F.col("source_size") * F.lit(float(most)))
         .withColumn("_ratio", F.col("_cap") / F.col("weight"))
-        .withColumn("_capped", F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
-        .withColumn("_open", F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("_total", F.sum("source_size").over(everything))
-        .withColumn("_level", level)
-        # the first source in order of ratio that its share does not fill sets the level
-        .withColumn("_level", F.min_by("_level", F.when(F.col("_level") <= F.col("_ratio"), F.struct("_ratio", "weight_no"))).over(everything))
-        .withColumn("target", F.coalesce(F.least("_cap", F.col("_level") * F.col("weight")), F.col("_cap")))
-        .select("source", "source_size", "weight_no", "target")
     )
+    named = scratch.save(named)
+    words, open_ = named.agg(F.sum("source_size"), F.sum("weight")).first()
+    # the first source in order of ratio that its share does not fill sets the level
+    rows = with_ranks(in_order(named, scratch, "_ratio", "weight_no"), [], "_turn", _capped="_cap", _closed="weight")
+    level = (F.lit(float(words or 0)) * F.lit(float(share)) - F.col("_capped")) / (F.lit(float(open_ or 0)) - F.col("_closed"))
+    rows = rows.select(level.alias("level"), "_turn", "_ratio").filter("level <= _ratio")
+    found = rows.agg(F.min_by("level", "_turn")).first()[0]
+    target = F.col("_cap") if found is None else F.least("_cap", F.lit(found) * F.col("weight"))
+    return named.select("source", "source_size", "weight_no", target.alias("target"))
 
 
 def demand_inverse(done: Column, schedule: Sequence[float]) -> Column:
@@ -93,42 +89,29 @@ def mix_documents(
     taken counts words, repeats included: a source's documents lie one after another in hash
     order, pass after pass, until its target is reached; the last one taken is taken in part.
     position and repeat_position (null: no such turn) are training times from 0 to 1 of the first and
-    the second turn. A null text or one without words has size 0 and is never taken; a null source is a
-    source; ties in hash order are rows with equal doc_id and text, which may change places;
-    an empty table gives no rows; columns of docs besides doc_id, text and source are not read.
+    the second turn; with most above 2 there are later ones, which taken_documents() gives. A null text or
+    one without words has size 0 and is never taken; a null source is a
+    source; ties in hash order are rows with equal doc_id and text, which may change places; a text of any length is
+    counted as a whole; an empty table gives no rows; columns of docs besides doc_id, text and source are not read.
     Rows are sorted by position, those without one last.
     """
-    mixed = _mixed(docs, weights, schedules, share, most).drop("_hash")
+    mixed = _mixed(docs, Scratch(docs.sparkSession, "mix"), weights, schedules, share, most)
+    at = F.col("positions")
+    mixed = mixed.select("doc_id", "source", "size", "source_size", "target", "taken", at[0].alias("position"), (at[1] if most > 1 else F.lit(None).cast("double")).alias("repeat_position"))
     return mixed.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
-def _mixed(docs: DataFrame, weights: Sequence[float], schedules: Sequence[Sequence[float]], share: float, most: float) -> DataFrame:
-    """The rows of mix_documents() in any order, with the documents' hashes."""
-    scratch = Scratch(docs.sparkSession, "mix")
-    slim = scratch.save(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), shuffle_hash().alias("_hash"))
-    )
-    sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
-    targets = scratch.save(source_targets(sizes.drop("_rows"), weights, share, most))
-    rows = slim.count()
-    per = BUCKET_ROWS * max(1.0, math.sqrt(rows / SCALE_ROWS))
-    bits = min(30, max(1, math.ceil(math.log2(max(1, rows / per)))))
-    bucketed = slim.withColumn("_bucket", F.shiftright(F.conv(F.substring("_hash", 1, 8), 16, 10).cast("long"), 32 - bits))
-    earlier = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        bucketed.groupBy("source", "_bucket")
-        .agg(F.sum("size").alias("_words"))
-        .withColumn("_start", F.coalesce(F.sum("_words").over(earlier), F.lit(0)))
-        .select(F.col("source").alias("_source"), F.col("_bucket").alias("_b"), "_start")
-        .join(targets, F.col("_source").eqNullSafe(F.col("source")))
-        .drop("source")
-    )
-    inside = Window.partitionBy("source", "_bucket").orderBy("_hash", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+def _mixed(docs: DataFrame, scratch: Scratch, weights: Sequence[float], schedules: Sequence[Sequence[float]], share: float, most: float) -> DataFrame:
+    """A row for each document, in any order: what mix_documents() tells, _hash, and, for each of the ceil(most) turns, the words
+    taken (pieces) and the training time (positions; null: no such turn)."""
+    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), shuffle_hash().alias("_hash"))
+    slim = scratch.save(slim)
+    sizes = scratch.save(slim.groupBy("source").agg(F.sum("size").alias("source_size")))
+    targets = scratch.save(source_targets(sizes, scratch, weights, share, most).withColumnRenamed("source", "_source"))
+    placed = with_ranks(in_order(slim, scratch, "source", "_hash", "doc_id"), ["source"], "_turn", _at="size")
     whole = F.least(F.round("target").cast("long"), (F.col("source_size") * F.lit(most)).cast("long"))
-    turns = math.ceil(most)
-    pieces = [
-        F.greatest(F.least(F.col("_whole") - F.col("source_size") * e - F.col("_at"), F.col("size")), F.lit(0)) for e in range(turns)
-    ]
+    turns = range(math.ceil(most))
+    pieces = [F.greatest(F.least(F.col("_whole") - F.col("source_size") * e - F.col("_at"), F.col("size")), F.lit(0)) for e in turns]
 
     def position(turn: int) -> Column:
         done = (F.col("_at") + F.col("source_size") * turn) / F.greatest(F.col("_whole"), F.lit(1)).cast("double")
@@ -139,9 +122,7 @@ def _mixed(docs: DataFrame, weights: Sequence[float], schedules: Sequence[Sequen
         return F.when(pieces[turn] > 0, case)
 
     return (
-        bucketed.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .join(starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_b")))
-        .withColumn("_at", F.col("_start") + F.col("_inside"))
+        placed.join(targets, F.col("source").eqNullSafe(F.col("_source")))
         .withColumn("_whole", whole)
         .select(
             "doc_id",
@@ -150,8 +131,8 @@ def _mixed(docs: DataFrame, weights: Sequence[float], schedules: Sequence[Sequen
             "source_size",
             "target",
             sum(pieces[1:], pieces[0]).cast("long").alias("taken"),
-            position(0).alias("position"),
-            (position(1) if turns > 1 else F.lit(None).cast("double")).alias("repeat_position"),
+            F.array(*pieces).alias("pieces"),
+            F.array(*[position(e) for e in turns]).alias("positions"),
             "_hash",
         )
     )
@@ -164,28 +145,30 @@ def taken_documents(
     share: float = SHARE,
     most: float = MOST,
 ) -> DataFrame:
-    """The mix as documents: a row for each turn of a document, in the order of training.
+    """The mix as documents: a row for each of the ceil(most) turns of a document, in the order of training.
 
     A turn taken in part has the first words of the text, white space between them kept, and
-    n_chars accordingly. Columns are those of docs.
+    n_chars accordingly. Columns are those of docs, whatever their names. Null and empty texts are never taken; null doc_ids and null
+    sources are mixed like any other; repeated rows have their turns each; an empty table gives no rows; a very long text is cut only
+    where its last turn ends.
     """
-    mixed = _mixed(docs, weights, schedules, share, most).filter(F.col("taken") > 0)
-    first = F.least("taken", "size")
-    turns = F.array(F.struct(F.col("position").alias("at"), first.alias("words"), (first < F.col("size")).alias("part")))
-    rest = F.col("taken") - F.col("size")
-    again = F.array(F.struct(F.col("repeat_position").alias("at"), rest.alias("words"), (rest < F.col("size")).alias("part")))
-    each = mixed.select("_hash", F.when(rest > 0, F.concat(turns, again)).otherwise(turns).alias("turns"))
-    # equal rows pool their turns; the first of them has them all
-    pooled = each.groupBy(F.col("_hash").alias("_of")).agg(F.flatten(F.collect_list("turns")).alias("_turns"))
-    named = docs.select(*[F.col(c).alias(f"d_{c}") for c in docs.columns], shuffle_hash().alias("_doc"))
-    joined = named.join(pooled, F.col("_doc") == F.col("_of"))
-    copy = F.row_number().over(Window.partitionBy("_of").orderBy(F.lit(0)))
-    once = joined.withColumn("_copy", copy).filter("_copy = 1").withColumn("_turn", F.explode("_turns"))
-    ordered = once.repartitionByRange("_turn.at").sortWithinPartitions("_turn.at", "_of")
-    pieces = F.regexp_extract_all("d_text", F.lit(rf"([\x20\x09-\x0D]*{WORD})"), 1)
-    head = F.array_join(F.slice(pieces, 1, F.col("_turn.words").cast("int")), "")
-    cut = ordered.withColumn("_text", F.when(F.col("_turn.part"), head).otherwise(F.col("d_text")))
+    scratch = Scratch(docs.sparkSession, "mix")
+    mixed = _mixed(docs, scratch, weights, schedules, share, most).filter("taken > 0")
+    each = mixed.select("_hash", "size", F.explode(F.arrays_zip("pieces", "positions")).alias("t"))
+    turns = each.filter("t.pieces > 0").select(F.col("_hash").alias("_of"), F.col("t.positions").alias("_at"), F.col("t.pieces").alias("_words"), (F.col("t.pieces") < F.col("size")).alias("_cut"))
+    turns = scratch.save(turns)
+    named = docs.select(F.struct("*").alias("_row"), shuffle_hash().alias("_doc"))
+    # rows equal in doc_id and text have one hash and pool their turns: one of them serves all
+    repeated = scratch.save(named.groupBy("_doc").count().filter("count > 1").select("_doc"))
+    if repeated.limit(1).count():
+        one = named.join(repeated, "_doc", "left_semi").dropDuplicates(["_doc"])
+        named = named.join(repeated, "_doc", "left_anti").unionByName(one)
+    joined = named.join(turns, F.col("_doc") == F.col("_of"))
+    ordered = joined.repartitionByRange("_at", "_of").sortWithinPartitions("_at", "_of")
+    pieces = F.regexp_extract_all(field("text"), F.lit(rf"([\x20\x09-\x0D]*{WORD})"), 1)
+    head = F.array_join(F.slice(pieces, 1, F.col("_words").cast("int")), "")
+    cut = ordered.withColumn("_text", F.when(F.col("_cut"), head).otherwise(field("text")))
     values = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
         values["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
-    return cut.select(*[values.get(c, F.col(f"d_{c}")).alias(c) for c in docs.columns])
+    return unpacked(cut, docs.columns, **values)

@@ -10,6 +10,7 @@ piece by piece. Pieces then find their place in the plan by length and rank.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
 from array import array
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwise.llm.ordering import rank_within, with_place
+from siftwise.llm.ordering import in_order, with_ranks
 from siftwise.llm.scratch import Scratch
 
 CAPACITY = 4096
@@ -105,10 +106,24 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+# How a tokenizer file says that it normalises and splits texts, if WordMemo may go word by word.
+WORD_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
 class WordMemo:
-    """Token ids of whole texts, word by word.
+    """Token ids of whole texts, word by word where the file's rules are WORD_RULES, else by the tokenizer alone.
 
-    The vocabulary's rules drop white space, never join text across it and ignore case, so a text's ids are its
+    Those rules drop white space, never join text across it and ignore case, so a text's ids are its
     lower-case words' ids in turn. A word of letters alone is one piece to the rules and goes to the merges
     directly; ASCII punctuation after letters is a piece of its own; any other word goes through all rules.
     Ids are held as little-endian bytes. Two generations of words are remembered: a full one
@@ -119,6 +134,10 @@ class WordMemo:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            rules = json.load(file)
+        self.by_word = all(rules.get(k) == v for k, v in WORD_RULES.items()) and rules["model"]["type"] == "BPE"
+        self.special = [t["content"].lower() for t in rules.get("added_tokens") or ()]
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.known: dict[bytes, bytes] = {}
@@ -154,9 +173,11 @@ class WordMemo:
         return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return [self._whole(t) for t in texts]
         if len(self.known) > MEMO_WORDS:
             self.known, self.old = {}, self.known
-        odd = ["<|" in t for t in texts]  # may hold the name of a special token
+        odd = ["<|" in t for t in texts] if all("<|" in s for s in self.special) else [True] * len(texts)  # may hold a special token
         # lower() and split() of bytes: A-Z, and the six ASCII white spaces
         split = [[] if o else t.encode().lower().split() for t, o in zip(texts, odd, strict=True)]
         long = self._learn(set().union(*split))
@@ -168,7 +189,7 @@ class WordMemo:
 
 
 def _pieces(path: str, capacity: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,19 +198,19 @@ def _pieces(path: str, capacity: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         memo = WordMemo(path)
         for batch in batches:
-            docs, texts = batch.column(0), batch.column(1)
+            docs, texts, hashes = batch.columns
             for at in range(0, len(docs), 256):
                 rows = []
                 encoded = memo.encode([t or "" for t in texts.slice(at, 256).to_pylist()])
-                for doc, ids in zip(docs.slice(at, 256).to_pylist(), encoded, strict=True):
+                for doc, digest, ids in zip(docs.slice(at, 256).to_pylist(), hashes.slice(at, 256).to_pylist(), encoded, strict=True):
                     view = memoryview(ids + end)
                     for k, lo in enumerate(range(0, len(view), 4 * capacity)):
                         cut = view[lo : lo + 4 * capacity]
-                        rows.append((doc, k, lo // 4, len(cut) // 4, zlib.crc32(cut)))
+                        rows.append((doc, digest, k, lo // 4, len(cut) // 4, zlib.crc32(cut)))
                 columns = list(zip(*rows, strict=True))
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return run, "doc_id long, piece int, start long, length long, ids_crc32 long"
+    return run, "doc_id long, text_hash long, piece int, start long, length long, ids_crc32 long"
 
 
 def _place(plan: dict[str, np.ndarray]):
@@ -215,12 +236,14 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) ->
 
     A document is its text's ids and END_ID; only longer ones than the capacity are cut. A
     null or empty text is one piece of length 1; a null doc_id stays null; repeated rows are packed
-    each; an empty table gives no rows; columns besides doc_id and text are not read. Equal lengths
-    are ranked in stored order.
+    each; a very long text is encoded as a whole and becomes as many pieces as it fills; an empty table gives no rows; columns
+    besides doc_id and text are not read. Equal lengths are ranked by doc_id (null first), a hash of the text and piece, so that reruns agree.
     """
     scratch = Scratch(docs.sparkSession, "pack")
     run, schema = _pieces(tokenizer, capacity)
-    pieces = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema))
+    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    pieces = scratch.save(pieces.mapInArrow(run, schema))
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # capacity entries at most
     run, schema = _place(plan_bins(histogram, capacity))
-    return rank_within(with_place(pieces), "length", "_rank").drop("_file", "_row", "_chunk").mapInArrow(run, schema)
+    ordered = in_order(pieces, scratch, "length", "doc_id", "text_hash", "piece")
+    return with_ranks(ordered, ["length"], "_rank").drop("text_hash").mapInArrow(run, schema)

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwise.llm.ordering import rank_within, with_place
+from siftwise.llm.ordering import in_order, with_ranks
 from siftwise.llm.scratch import Scratch
 
 #: Bytes that a row takes besides its text.
@@ -89,8 +89,9 @@ def shard_documents(docs: DataFrame, tree: Node, added: int) -> DataFrame:
 
     Returns doc_id, size, text_crc32, law, shard, slot, grown_shard (the shard once shard
     number `added` has joined). A null text counts as empty, with no bytes; a null doc_id is a key
-    like any other; repeated rows each get a slot; an empty table gives no rows; columns of docs
-    besides doc_id and text are not read. Slots are gapless from 0 in each shard.
+    like any other; repeated rows each get a slot; a very long text is hashed as a whole; an empty table gives no rows; columns of docs
+    besides doc_id and text are not read. Slots are gapless from 0 in each shard, in order of doc_id (null first) and a hash of the text, so
+    that reruns agree.
     """
     scratch = Scratch(docs.sparkSession, "shard")
     slim = scratch.save(
@@ -101,9 +102,11 @@ def shard_documents(docs: DataFrame, tree: Node, added: int) -> DataFrame:
             F.lit("key").alias("law"),
             shard_of(F.col("doc_id"), tree).cast("int").alias("shard"),
             shard_of(F.col("doc_id"), grow(tree, added)).cast("int").alias("grown_shard"),
+            F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text_hash"),
         )
     )
-    return rank_within(with_place(slim), "shard", "slot").select(
+    ordered = in_order(slim, scratch, "shard", "doc_id", "_text_hash", "size", "text_crc32")
+    return with_ranks(ordered, ["shard"], "slot").select(
         "doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard"
     )
 

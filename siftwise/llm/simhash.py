@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from siftwise.llm import shingles
 from siftwise.llm.graph import components
+from siftwise.llm.ordering import unpacked
 from siftwise.llm.scratch import Scratch
 
 WORDS = 4
@@ -180,7 +181,8 @@ def simhash_components(docs: DataFrame, words: int = WORDS, radius: int = RADIUS
 
 
 def keep_one_of_each(docs: DataFrame, words: int = shingles.WORDS, similarity: float = shingles.SIMILARITY) -> DataFrame:
-    """One row of each group of near copies; columns of docs.
+    """One row of each group of near copies; columns of docs, whatever their names. A null text counts as empty; a very long one is
+    compared as a whole; an empty table gives no rows.
 
     The row with the least doc_id stays, null doc_ids last; among rows with one doc_id that of the least hash of
     doc_id and text. Rows that share a doc_id but not the text are told apart; of rows equal in both any one stays.
@@ -188,5 +190,6 @@ def keep_one_of_each(docs: DataFrame, words: int = shingles.WORDS, similarity: f
     take no part, as a radius that holds pairs of similarity 0.8 is beyond ball hashing.
     """
     kept = shingles.near_copies(docs, words, similarity).select(F.col("first.row_key").alias("_kept"))
-    kept_docs = docs.withColumn("_row_key", shingles.row_key()).join(kept, F.col("_row_key") == F.col("_kept"), "left_semi")
-    return kept_docs.dropDuplicates(["_row_key"]).drop("_row_key")
+    rows = docs.select(F.struct("*").alias("_row"), shingles.row_key().alias("_key"))
+    rows = rows.join(kept, F.col("_key") == F.col("_kept"), "left_semi").dropDuplicates(["_key"])
+    return unpacked(rows, docs.columns)

@@ -42,7 +42,7 @@ def check(docs):
     assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
     again = mixing.mix_documents(docs.repartition(3)).collect()
     key = lambda r: (r["doc_id"], r["taken"], r["position"], r["repeat_position"])
-    assert sorted(map(key, rows)) == sorted(map(key, again)) if all(r["position"] is not None for r in rows) else True
+    assert sorted(map(repr, map(key, rows))) == sorted(map(repr, map(key, again)))
     assert {r["doc_id"]: r["taken"] for r in rows} == {r["doc_id"]: r["taken"] for r in again}
     return rows
 
@@ -51,8 +51,7 @@ def sources(n):
     return [None if i % 9 == 4 else "a" if i % 3 else f"s{i % 7}" for i in range(n)]
 
 
-def test_small_corpus(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "BUCKET_ROWS", 5)
+def test_small_corpus(spark):
     texts = corpus()
     rows = check(documents(spark, texts, sources(len(texts))))
     placed = [r["position"] for r in rows if r["position"] is not None]
@@ -63,15 +62,39 @@ def test_real_documents(spark):
     check(real(spark))
 
 
-def test_taken_documents(spark):
+@pytest.mark.parametrize("most", [1.0, 2.0, 3.0, 2.5])
+def test_taken_documents(spark, most):
+    """Every word that the mix takes is delivered, however many turns that needs."""
     texts = corpus()
-    docs = documents(spark, texts, sources(len(texts)))
+    docs = documents(spark, texts, sources(len(texts))).withColumnRenamed("fp", "_words")
     taken = defaultdict(int)
-    for r in mixing.taken_documents(docs).collect():
+    for r in mixing.taken_documents(docs, share=most - 0.25, most=most).collect():
         assert r["n_chars"] == len(r["text"]) and (texts[r["doc_id"]] or "").startswith(r["text"])
         taken[r["doc_id"]] += len(WORD.findall(r["text"]))
-    want = {r["doc_id"]: r["taken"] for r in mixing.mix_documents(docs).collect() if r["taken"]}
-    assert taken == want and mixing.taken_documents(docs).columns == docs.columns
+    rows = mixing.mix_documents(docs, share=most - 0.25, most=most).collect()
+    assert taken == {r["doc_id"]: r["taken"] for r in rows if r["taken"]}
+    assert max(r["taken"] / r["size"] for r in rows if r["size"]) > most - 0.3
+    assert mixing.taken_documents(docs, most=most).columns == docs.columns
+
+
+def test_turns_of_repeated_rows(spark):
+    docs = documents(spark, ["a b c d e"] * 5 + [None, "", "f g"], ["x"] * 6 + [None] * 2, ids=[1] * 5 + [None, 2, None])
+    rows = mixing.mix_documents(docs, share=3.0, most=3.0).collect()
+    given = [r["text"] for r in mixing.taken_documents(docs, share=3.0, most=3.0).collect()]
+    assert sum(r["taken"] for r in rows) == 81 == sum(len(t.split()) for t in given)
+    assert mixing.taken_documents(docs.limit(0)).count() == 0
+
+
+def test_very_long_text(spark):
+    text = "word " * 300_000
+    docs = documents(spark, [text, "a b"], ["x", "y"])
+    assert {r["size"] for r in mixing.mix_documents(docs).collect()} == {300_000, 2}
+    assert sum(r["text"].count("word") for r in mixing.taken_documents(docs).collect()) == next(r["taken"] for r in mixing.mix_documents(docs).collect() if r["size"] > 2)
+
+
+def test_as_many_sources_as_documents(spark):
+    texts = [f"w{i} " * (i % 17 + 1) for i in range(300)]
+    check(documents(spark, texts, [f"host{i:03d}" for i in range(300)]))
 
 
 def test_demand_is_inverted(spark):

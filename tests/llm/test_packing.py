@@ -97,3 +97,25 @@ def test_repeated_rows_and_empty_table(spark):
     rows = packing.pack_documents(docs, tokenizer_path()).collect()
     assert sorted(r["length"] for r in rows) == [1, 3, 3] and len({r["sequence_id"] for r in rows}) == 1
     assert packing.pack_documents(docs.limit(0), tokenizer_path()).count() == 0
+
+
+def test_reruns_agree(spark):
+    docs = documents(spark, corpus())
+    key = lambda r: (r["doc_id"], r["piece"])
+    runs = [sorted(packing.pack_documents(d, tokenizer_path(), 128).collect(), key=key) for d in (docs, docs.repartition(5, "text"))]
+    assert runs[0] == runs[1]
+
+
+def test_other_rules_are_not_taken_for_granted(tmp_path):
+    """A vocabulary that keeps case and white space is encoded as a whole."""
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    memo = packing.WordMemo(path)
+    texts = ["Two  Words\n here", "don't STOP", ""]
+    assert not memo.by_word and packing.WordMemo(tokenizer_path()).by_word
+    assert memo.encode(texts) == [np.array(Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_very_long_text(spark):
+    text = "word and word, " * 70_000
+    n, _, lengths = check(documents(spark, [text, "x"]))
+    assert n > 50 and lengths.count(4096) >= n - 3

@@ -61,3 +61,37 @@ def test_null_ids_repeated_rows_empty_table_and_files(spark, tmp_path):
     assert sharding.shard_documents(docs.limit(0), sharding.uniform_tree(40), 40).count() == 0
     sharding.write_shards(docs, sharding.uniform_tree(4), str(tmp_path / "shards"))
     assert spark.read.parquet(str(tmp_path / "shards")).count() == 4
+
+
+def test_draws_and_slots_are_recomputed(spark):
+    """Shards by draws made in plain Python; slots by (doc_id, hash of the text), whatever the order of the rows."""
+    from math import log
+
+    texts = corpus(n=60)
+    docs = documents(spark, texts)
+    tree = sharding.uniform_tree(7, racks=3)
+    names = [f.name for f in _nodes(sharding.grow(tree, 7))]
+    ids = [r["doc_id"] for r in docs.collect()]
+    hashed = docs.select("doc_id", *[F.xxhash64(F.lit(n), "doc_id").alias(n) for n in names], F.xxhash64(F.coalesce("text", F.lit(""))).alias("of_text")).collect()
+    draws = {r["doc_id"]: {n: log(((r[n] % 2**64 >> 11) + 0.5) / 2**53) for n in names} for r in hashed}
+
+    def shard(i, node):
+        while node.children:
+            node = max(node.children, key=lambda c: draws[i][c.name] / c.weight)
+        return node.shard
+
+    runs = [{r["doc_id"]: r for r in sharding.shard_documents(d, tree, 7).collect()} for d in (docs, docs.repartition(5, "text"))]
+    assert all((r["shard"], r["grown_shard"]) == (shard(i, tree), shard(i, sharding.grow(tree, 7))) for i, r in runs[0].items())
+    order = sorted((runs[0][r["doc_id"]]["shard"], r["doc_id"], r["of_text"]) for r in hashed)
+    want = {i: sum(1 for o in order if o[0] == s and o < (s, i, h)) for s, i, h in order}
+    assert all({i: r["slot"] for i, r in run.items()} == want for run in runs) and len(want) == len(ids)
+
+
+def _nodes(node):
+    return [n for c in node.children for n in (c, *_nodes(c))]
+
+
+def test_very_long_text(spark):
+    text = "é" * 1_000_000
+    r = sharding.shard_documents(documents(spark, [text]), sharding.uniform_tree(40), 40).first()
+    assert (r["size"], r["text_crc32"], r["slot"]) == (2_000_016, zlib.crc32(text.encode()), 0)

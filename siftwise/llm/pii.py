@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwise.llm.ordering import field, packed, unpacked
 from siftwise.llm.scratch import Scratch
 
 # The kinds in order, with their patterns. Quantifiers are possessive and a look-behind
@@ -32,6 +33,8 @@ IN_WORD = r"[\p{L}\p{M}\p{N}]"
 TERM = rf"({IN_WORD}++)"
 #: Words on either side of an entity, and code points looked at for them; words cut by that bound are left out.
 NEAR_WORDS, NEAR_CHARS = 5, 80
+#: Code points of the parts in which a text with findings is looked at.
+CHUNK = 128
 #: Distinct surroundings in which a term must stand near one entity; shares of its documents.
 MIN_SUPPORT, GENERALISE, REMOVE = 3, 0.5, 0.9
 #: Terms up to which a list of them is broadcast; a longer list is joined by shuffle.
@@ -66,22 +69,46 @@ def _passes(kind: str, span: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _doubled(values: Column, both) -> Column:
+    """Running totals of an array under an associative function, by doubling: log n passes over n elements."""
+    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda step: step < F.size(values))
+
+    def add(state: Column, step: Column) -> Column:
+        earlier = lambda i: F.get(state, F.when(i >= step, i - step))
+        return F.transform(state, lambda x, i: F.coalesce(both(x, earlier(i)), x))
+
+    return F.aggregate(steps, values, add)
+
+
 def _located(text: Column, pattern: Column | str, number: int) -> Column:
     """All matches with their places: what stands between matches tells where each begins."""
     regex = pattern if isinstance(pattern, Column) else F.lit(pattern)
     gaps = F.transform(F.split(text, regex, -1), lambda g: F.length(g))
     values = F.regexp_extract_all(text, regex, 0)
-    start = F.struct(F.array().cast(SPANS).alias("spans"), F.lit(0).alias("at"))
+    # gaps has one more element than values; the last pair has no value and is left out
+    pairs = lambda v: F.zip_with(F.slice(gaps, F.lit(1), F.size(v)), v, lambda g, x: F.struct((g + F.length(x)).alias("step"), x.alias("v")))
+    span = lambda p, end: F.struct(F.lit(number).alias("kind"), (end - F.length(p["v"])).alias("start"), end.alias("end"), p["v"].alias("value"))
+    ends = lambda ps: _let(F.transform(ps, lambda p: p["step"]), lambda n: _doubled(n, lambda x, y: x + y))
+    return _let(_let(values, pairs), lambda ps: F.zip_with(ps, ends(ps), span))
 
-    def add(state: Column, pair: Column) -> Column:
-        begin = state["at"] + pair["g"]
-        end = begin + F.length(pair["v"])
-        span = F.struct(F.lit(number).alias("kind"), begin.alias("start"), end.alias("end"), pair["v"].alias("value"))
-        return F.struct(F.concat(state["spans"], F.array(span)).alias("spans"), end.alias("at"))
 
-    # gaps has one more element than values; the last pair has no value and is left out
-    pairs = F.slice(F.zip_with(gaps, values, lambda g, v: F.struct(g.alias("g"), v.alias("v"))), F.lit(1), F.size(values))
-    return F.aggregate(pairs, start, add, lambda state: state["spans"])
+def _chunks(text: Column) -> Column:
+    """The text in parts of CHUNK code points, so that a place deep in it is reached at once."""
+    return F.regexp_extract_all(text, F.lit(rf"([\s\S]{{1,{CHUNK}}})"), 1)
+
+
+def _cut(chunks: Column, begin: Column, end: Column) -> Column:
+    """Code points begin to end of a text given by its chunks; at a cost of what is cut, wherever that stands."""
+    first = F.floor(begin / CHUNK).cast("int")
+    last = F.floor((end - 1) / CHUNK).cast("int")
+    # not slice(), which copies the whole array
+    whole = F.array_join(F.transform(F.sequence(first, last), lambda i: F.get(chunks, i)), "")
+    return F.when(end > begin, F.substring(whole, begin - first * CHUNK + 1, end - begin)).otherwise("")
 
 
 def _of_kind(text: Column, number: int) -> Column:
@@ -98,18 +125,17 @@ def base_spans(text: Column) -> Column:
     return F.concat(*found)
 
 
-def _terms_near(text: Column, span: Column) -> Column:
+def _terms_near(chunks: Column, length: Column, span: Column) -> Column:
     """Terms among the words next to a span, in order."""
-    left = F.substring(text, F.greatest(span["start"] - NEAR_CHARS, F.lit(0)) + 1, F.least(span["start"], F.lit(NEAR_CHARS)))
-    right = F.substring(text, span["end"] + 1, F.lit(NEAR_CHARS))
+    whole = rf"^{IN_WORD}++"
     # one code point more tells whether the bound cuts a word
-    outside = F.substring(text, F.greatest(span["start"] - NEAR_CHARS, F.lit(1)), F.when(span["start"] > NEAR_CHARS, 1).otherwise(0))
-    left = F.when(outside.rlike(IN_WORD), F.regexp_replace(left, rf"^{IN_WORD}++", "")).otherwise(left)
-    beyond = F.substring(text, span["end"] + NEAR_CHARS + 1, F.lit(1))
-    right = F.when(beyond.rlike(IN_WORD), F.regexp_replace(right, rf"(?<!{IN_WORD}){IN_WORD}++$", "")).otherwise(right)
+    left = _cut(chunks, F.greatest(span["start"] - NEAR_CHARS - 1, F.lit(0)), span["start"])
+    right = _cut(chunks, span["end"], F.least(span["end"] + NEAR_CHARS + 1, length))
+    left = F.when(span["start"] > NEAR_CHARS, F.regexp_replace(F.regexp_replace(left, whole, ""), rf"^[^\p{{L}}\p{{M}}\p{{N}}]", "")).otherwise(left)
+    right = F.when(span["end"] + NEAR_CHARS < length, F.regexp_replace(right, rf"(?<!{IN_WORD}){IN_WORD}++$", "")).otherwise(right)
     before = F.regexp_extract_all(F.lower(left), F.lit(TERM), 1)
     after = F.regexp_extract_all(F.lower(right), F.lit(TERM), 1)
-    before = F.slice(before, F.greatest(F.size(before) - NEAR_WORDS, F.lit(0)) + 1, F.lit(NEAR_WORDS))
+    before = _let(before, lambda b: F.slice(b, F.greatest(F.size(b) - NEAR_WORDS, F.lit(0)) + 1, F.lit(NEAR_WORDS)))
     return F.concat(before, F.slice(after, 1, NEAR_WORDS))
 
 
@@ -146,23 +172,20 @@ def _with_spans(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
     """doc_id, text_hash and base spans of all rows; doc_id, text_hash and term spans where there are any."""
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     entity = lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), F.lower(s["value"]))
-    near = F.transform("spans", lambda s: F.struct(entity(s).alias("entity"), _terms_near(F.col("text"), s).alias("terms")))
+    # the text's chunks and its length
+    near = lambda t: F.transform("spans", lambda s: F.struct(entity(s).alias("entity"), _terms_near(t["chunks"], t["size"], s).alias("terms")))
+    told = F.struct(_chunks(F.col("text")).alias("chunks"), F.length("text").alias("size"))
+    none = F.array().cast("array<struct<entity:string,terms:array<string>>>")
     slim = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     found = (
         text.withColumn("spans", base_spans(F.col("text")))
-        .withColumn("near", near)
+        .withColumn("near", F.when(F.size("spans") > 0, _let(told, near)).otherwise(none))
         .select("doc_id", F.xxhash64("text").alias("text_hash"), slim.alias("spans"), "near")
     )
     found = scratch.save(found)
     terms = disclosing_terms(found, text, scratch)
-    offset = F.aggregate(
-        F.transform(F.split("text", "\n"), lambda x: F.struct(F.length(x).alias("n"), x.alias("line"))),
-        F.struct(F.array().cast("array<struct<at:int,line:string>>").alias("lines"), F.lit(0).alias("at")),
-        lambda s, x: F.struct(
-            F.concat(s["lines"], F.array(F.struct(s["at"].alias("at"), x["line"].alias("line")))).alias("lines"), (s["at"] + x["n"] + 1).alias("at")
-        ),
-        lambda s: s["lines"],
-    )
+    sizes = lambda ls: _let(F.transform(ls, lambda x: F.length(x) + 1), lambda n: _doubled(n, lambda x, y: x + y))
+    offset = _let(F.split("text", "\n"), lambda ls: F.zip_with(ls, sizes(ls), lambda x, end: F.struct((end - F.length(x) - 1).alias("at"), x.alias("line"))))
     lines = text.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(offset).alias("x"))
     words = lines.select("doc_id", "text_hash", "x", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("x.line"), F.lit(TERM), 1))).alias("term"))
     hit = _listed(words, terms)
@@ -185,11 +208,11 @@ def _listing(spans: Column) -> Column:
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
-    """Returns doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term.
+    """Returns doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, n_found (spans of all kinds).
 
     Places count code points, ends exclusive. A null text counts as empty, with no spans (an empty list,
-    whose hash is that of the empty string); null doc_ids and repeated rows are rows like any other; an
-    empty table gives no rows; columns besides doc_id and text are not read.
+    whose hash is that of the empty string); null doc_ids and repeated rows are rows like any other; a very long text, or
+    one of very many spans, is searched as a whole, in time n log n; an empty table gives no rows; columns besides doc_id and text are not read.
     """
     found, hits = _with_spans(docs, Scratch(docs.sparkSession, "pii"))
     count = lambda i: F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("long")
@@ -200,12 +223,17 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
         F.sha2(_listing(F.col("spans")), 256).alias("base_sha256"),
         _listing(F.concat("spans", terms)).alias("spans"),
         F.size(terms).cast("long").alias("n_term"),
+        (F.size("spans") + F.size(terms)).cast("long").alias("n_found"),
     )
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """Documents without what was found: personal data gives way to its kind in brackets, terms to [TERM] or
-    to nothing. n_chars follows the text. Columns are those of docs."""
+    to nothing. n_chars follows the text. Columns are those of docs, whatever their names.
+
+    Of overlapping spans the first is replaced and the rest of the others dropped. A null text stays null; null doc_ids and repeated rows are
+    rows like any other; a very long text is rewritten as a whole, in time n log n; an empty table gives no rows.
+    """
     found, hits = _with_spans(docs, Scratch(docs.sparkSession, "sanitise"))
     name = lambda s: F.element_at(F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS]), s["kind"] + 1)
     base = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), name(s).alias("to")))
@@ -215,22 +243,26 @@ def sanitise(docs: DataFrame) -> DataFrame:
     )
     edits = _joined(found, hits).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text"), F.sort_array(F.concat(base, other)).alias("_edits"))
     edits = edits.filter(F.size("_edits") > 0).dropDuplicates(["_doc", "_text"])
-    text = F.col("text")
-
-    def apply(state: Column, e: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, F.greatest(e["start"] - state["at"], F.lit(0)))
-        more = e["end"] > state["at"]  # an edit inside an earlier one has nothing left to replace
-        to = F.when(e["start"] >= state["at"], e["to"]).otherwise("")
-        return F.struct(F.when(more, F.concat(state["done"], gap, to)).otherwise(state["done"]).alias("done"), F.greatest(state["at"], e["end"]).alias("at"))
-
-    rest = lambda s: F.concat(s["done"], F.substring(text, s["at"] + 1, F.length(text)))
-    clean = F.aggregate("_edits", F.struct(F.lit("").alias("done"), F.lit(0).alias("at")), apply, rest)
-    clean = F.when(F.col("_edits").isNull(), text).otherwise(clean)
-    joined = docs.join(edits, docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_text")), "left")
+    text = field("text")
+
+    def rewritten(chunks: Column) -> Column:
+        covered = _let(F.transform("_edits", lambda e: e["end"]), lambda ends: _doubled(ends, lambda x, y: F.greatest(x, y)))
+
+        def kept(done: Column) -> Column:
+            at = lambda i: F.coalesce(F.get(done, F.when(i > 0, i - 1)), F.lit(0))
+            # an edit inside an earlier one has nothing left to replace
+            pieces = F.transform("_edits", lambda e, i: F.concat(_cut(chunks, at(i), F.greatest(e["start"], at(i))), F.when(e["start"] >= at(i), e["to"]).otherwise("")))
+            return F.concat(F.array_join(pieces, ""), _cut(chunks, F.element_at(done, -1), F.length(text)))
+
+        return _let(covered, kept)
+
+    clean = F.when(F.col("_edits").isNull(), text).otherwise(_let(_chunks(text), rewritten))
+    same = field("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_text"))
+    joined = packed(docs).join(edits, same, "left").withColumn("_clean", clean)
     values = {"text": F.col("_clean")}
     if "n_chars" in docs.columns:
         values["n_chars"] = F.length("_clean").cast(docs.schema["n_chars"].dataType)
-    return joined.withColumn("_clean", clean).select(*[values.get(c, docs[c]).alias(c) for c in docs.columns])
+    return unpacked(joined, docs.columns, **values)
 
 
 def no_personal_data(text: Column) -> Column:

@@ -62,7 +62,7 @@ def test_real_documents(spark):
     check(real(spark))
 
 
-@pytest.mark.parametrize("most", [1.0, 2.0, 3.0, 2.5])
+@pytest.mark.parametrize("most", [1.0, 2.5])
 def test_taken_documents(spark, most):
     """Every word that the mix takes is delivered, however many turns that needs."""
     texts = corpus()

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 import pytest
 
@@ -117,3 +119,73 @@ def test_neighbourhood_is_cut_at_words(spark):
     texts = [f"{w} tail{half} a@b.org {half}tail {w}" for w in ("one", "two", "six", "ten")]
     rows = pii.find_personal_data(documents(spark, [*texts, half])).orderBy("doc_id").collect()
     assert rows[-1]["n_term"] == 0
+
+
+def test_very_many_spans_in_one_text(spark):
+    """100,000 addresses in one text: found and rewritten in a time that does not grow with their square."""
+    n = 100_000
+    text = "".join(f"write to u{i}@mail{i % 7}.example.org now\n" for i in range(n))
+    docs = documents(spark, [text, "nothing here"])
+    begun = time.perf_counter()
+    rows = {r["doc_id"]: r for r in pii.find_personal_data(docs).collect()}
+    assert rows[0]["n_email"] == n and rows[1]["n_found"] == 0
+    listed = [f"email:{m.start()}:{m.end()}" for m in re.finditer(r"u[0-9]+@mail[0-9]\.example\.org", text)]
+    assert rows[0]["base_sha256"] == hashlib.sha256(",".join(listed).encode()).hexdigest()
+    clean = pii.sanitise(docs).filter("doc_id = 0").first()["text"]
+    assert clean.count("[EMAIL]") == n and "@" not in clean
+    assert time.perf_counter() - begun < 180
+
+
+def test_columns_named_as_the_operators_own(spark):
+    docs = documents(spark, ["mail a@b.org", "x"]).selectExpr("*", "1 AS _text", "2 AS _doc", "3 AS _clean", "4 AS _edits", "5 AS _row", "6 AS spans", "7 AS term_spans")
+    clean = pii.sanitise(docs).orderBy("doc_id").collect()
+    assert [r["text"] for r in clean] == ["mail [EMAIL]", "x"] and clean[0].asDict()["_edits"] == 4 and pii.sanitise(docs).columns == docs.columns
+    assert pii.find_personal_data(docs).count() == 2
+
+
+def shares(texts):
+    """Terms near entities, with the documents that have both over all with the term; in plain Python."""
+    word, near, support, with_entity = re.compile(r"[^\W_]+"), pii.NEAR_CHARS, {}, {}
+    for i, text in enumerate(texts):
+        for kind, spans in base(text).items():
+            for a, b in spans:
+                left, right = text[max(0, a - near) : a], text[b : b + near]
+                if a > near and re.match(r"[^\W_]", text[a - near - 1]):
+                    left = re.sub(r"^[^\W_]+", "", left)
+                if b + near < len(text) and re.match(r"[^\W_]", text[b + near]):
+                    right = re.sub(r"[^\W_]+$", "", right)
+                terms = word.findall(left.lower())[-pii.NEAR_WORDS :] + word.findall(right.lower())[: pii.NEAR_WORDS]
+                for t in terms:
+                    pair = (f"{kind}:{text[a:b].lower()}", t)
+                    support.setdefault(pair, set()).add(tuple(terms))
+                    with_entity.setdefault(pair, set()).add(i)
+    documents_with = {}
+    for text in texts:
+        for t in set(word.findall((text or "").lower())):
+            documents_with[t] = documents_with.get(t, 0) + 1
+    most = {}
+    for (e, t), docs in with_entity.items():
+        if len(support[e, t]) >= pii.MIN_SUPPORT:
+            most[t] = max(most.get(t, 0), len(docs))
+    return {t: n / documents_with[t] for t, n in most.items() if n / documents_with[t] >= pii.GENERALISE}
+
+
+def test_term_spans_against_brute_force(spark):
+    draw = random.Random(4)
+    names = ["Mira", "Oto", "kel77", "Zu"]
+    texts = []
+    for _ in range(160):
+        words = [draw.choice(["sun", "moon", "river", "stone", "ask", "for"]) + draw.choice(["", "s", "ly"]) for _ in range(draw.randint(3, 30))]
+        k = draw.randrange(4)
+        if draw.random() < 0.5:
+            words.insert(draw.randrange(len(words)), f"{names[k]} {names[k].lower()}@post.example")
+        elif draw.random() < 0.3:
+            words.insert(draw.randrange(len(words)), draw.choice(names))
+        texts.append(" ".join(words) + draw.choice(["", "\nsecond line of Mira"]))
+    found = shares(texts)
+    assert found
+    pattern = re.compile("|".join(rf"(?<![^\W_]){re.escape(t)}(?![^\W_])" for t in sorted(found)), re.I)
+    rows = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(documents(spark, texts)).collect()}
+    for i, text in enumerate(texts):
+        want = [f"term:{m.start()}:{m.end()}" for m in pattern.finditer(text)]
+        assert [s for s in rows[i].split(",") if s.startswith("term:")] == want, text

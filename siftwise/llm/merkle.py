@@ -13,6 +13,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwise.llm.ordering import in_order, with_ranks
+from siftwise.llm.scratch import Scratch
+
 #: Code points of a leaf, paragraphs of a section.
 LEAF_CHARS, SECTION_PARAGRAPHS = 16, 16
 #: Rows of one window partition, for tables up to SCALE_ROWS; beyond, its square root's share more.
@@ -79,59 +82,62 @@ def differing_paragraphs(a: str = "", b: str = "edited_") -> Column:
     )
 
 
-def _count_below(bounds: list, value: Column) -> Column:
-    """How many bounds are at most value, in two steps of about the square root of their number."""
-    if not bounds:
-        return F.lit(0)
-    step = max(1, math.isqrt(len(bounds)))
-    every = F.array(*[F.lit(b) for b in bounds])
-    coarse = F.array(*[F.lit(b) for b in bounds[step - 1 :: step]])
+def _count_below(every: Column, coarse: Column, step: int, value: Column) -> Column:
+    """How many of the sorted bounds are at most value, in two steps of about the square root of their number; coarse has each step-th bound."""
     whole = F.size(F.filter(coarse, lambda c: c <= value)) * step
-    return whole + F.size(F.filter(F.slice(every, whole + 1, step), lambda c: c <= value))
+    return whole + F.size(F.filter(F.sequence(whole, whole + step - 1), lambda i: F.coalesce(F.get(every, i) <= value, F.lit(False))))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty), leaves and root, and those of the next document by (doc_id, text).
+def with_next(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """doc_id, text (null: empty), copies, its tree, and text, leaves and root of the next document: one row for all those equal in doc_id and text. Then, whether any were.
 
-    Null doc_ids come first; after the last document comes the first. Ranges of doc_id of
-    equal counts are windows of their own; a range's first document is also put at the end
-    of the range before it, so texts are shuffled once.
+    Documents are in order of doc_id, null first, then a hash of the text; after the last comes the first. Ranges of
+    equal numbers of documents are windows of their own, whatever their doc_ids; a range's first document is also put at the end
+    of the range before it, so texts are shuffled once. The ranges' bounds are read by a subquery: the plan's text does not grow with them.
     """
-    ids = docs.select("doc_id")
-    rows = ids.count()
-    per = BUCKET_ROWS * max(1.0, math.sqrt(rows / SCALE_ROWS))
-    n = max(1, math.ceil(rows / per))
-    shares = [(i + 1) / n for i in range(n - 1)]
-    bounds = ids.agg(F.percentile_approx("doc_id", shares, max(10_000, 10 * n))).first()[0] if shares else None
-    bounds = sorted(set(bounds or []))
-    bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(_count_below(bounds, F.col("doc_id"))).cast("int")
-    found = ids.groupBy(bucket.alias("b")).agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("nulls"))
-    found = sorted(found.collect(), key=lambda r: r["b"])  # a row for each range
-    firsts, before = [None] * (len(bounds) + 1), [-1] * (len(bounds) + 1)
-    for i, r in enumerate(found):
-        firsts[r["b"]] = None if r["nulls"] else r["first"]
-        before[r["b"]] = found[i - 1]["b"]
-    kind = docs.schema["doc_id"].dataType
-    first = F.element_at(F.array(*[F.lit(x).cast(kind) for x in firsts]), F.col("_bucket") + 1)
-    back = F.element_at(F.array(*[F.lit(x) for x in before]), F.col("_bucket") + 1)
-    own = F.array(F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("late")))
-    both = F.concat(own, F.array(F.struct(back.alias("b"), F.lit(1).alias("late"))))
+    key = ["doc_id", "_hash"]
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("_hash"))
+    slim = scratch.save(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("copies")))
+    repeated = scratch.save(slim.filter("copies > 1").select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_of"), "copies"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of"))
+    rows = rows.withColumn("copies", F.lit(1).cast("long"))
+    repeats = bool(repeated.limit(1).count())
+    if repeats:
+        # equal rows are brought together by a map-side combined aggregate and treated once
+        one = rows.drop("copies").join(repeated, same).drop("_id", "_of").dropDuplicates(key)
+        rows = rows.join(repeated, same, "left_anti").unionByName(one)
+    count = slim.count()
+    per = int(BUCKET_ROWS * max(1.0, math.sqrt(count / SCALE_ROWS)))
+    n = max(1, -(-count // per))
+    step = max(1, math.isqrt(n))
+    ranked = with_ranks(in_order(slim, scratch, *key), [], "_rank").filter(F.col("_rank") % per == 0)
+    bounds = ranked.agg(F.array_sort(F.collect_list(F.struct(*key))).alias("every"))  # as many as there are ranges
+    bounds = bounds.select("every", F.filter("every", lambda _, i: i % step == step - 1).alias("coarse"))
+    bounds = scratch.save(bounds)
+    dealt = rows.withColumn("_every", bounds.select("every").scalar()).withColumn("_coarse", bounds.select("coarse").scalar())
+    # no document is below the first bound, which is the first of all
+    own = _count_below(F.col("_every"), F.col("_coarse"), step, F.struct(*key)) - 1
+    dealt = dealt.withColumn("_bucket", own.cast("int"))
+    first = F.get("_every", F.col("_bucket")) == F.struct(*key)
+    here = F.array(F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("late")))
+    back = F.array(F.struct(((F.col("_bucket") + n - 1) % n).cast("int").alias("b"), F.lit(1).alias("late")))
     dealt = (
-        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), bucket.alias("_bucket"))
-        .withColumn("_to", F.explode(F.when(F.col("doc_id").eqNullSafe(first), both).otherwise(own)))
-        .select("doc_id", "text", F.col("_to.b").alias("_bucket"), F.col("_to.late").alias("_late"))
+        dealt.withColumn("_to", F.explode(F.when(first, F.concat(here, back)).otherwise(here)))
+        .select("doc_id", "_hash", "text", "copies", F.col("_to.b").alias("_bucket"), F.col("_to.late").alias("_late"))
         .repartition("_bucket")
     )
     treed = with_tree(dealt, "text").withColumn("leaves", F.flatten("leaves"))
-    order = Window.partitionBy("_bucket").orderBy("_late", "doc_id", "text")
-    return (
-        treed.select("doc_id", "text", "_bucket", "_late", "leaves", "paragraphs", "sections", "root")
+    order = Window.partitionBy("_bucket").orderBy("_late", "doc_id", "_hash")
+    placed = (
+        treed.select("doc_id", "_hash", "text", "copies", "_bucket", "_late", "leaves", "paragraphs", "sections", "root")
         .withColumn("next_text", F.lead("text").over(order))
         .withColumn("next_leaves", F.lead("leaves").over(order))
         .withColumn("next_root", F.lead("root").over(order))
         .filter("_late = 0")
-        .drop("_bucket", "_late")
+        .drop("_bucket", "_late", "_hash")
     )
+    return placed, repeats
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -139,12 +145,22 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
     The edited text has its last floor(n_chars / 2) code points replaced by as many first ones, or all, of the
     next document's. A null text counts as empty; null doc_ids come first in order; equal doc_ids
-    are ordered by text; of one document alone, it is its own next; an empty table gives no rows; other
-    columns are not read.
+    are ordered by a hash of their texts, and of rows equal in both each but the last is followed by its like; of one document alone, it is its own
+    next; a very long text is one tree; an empty table gives no rows; other columns are not read.
     """
+    rows, repeats = with_next(docs, Scratch(docs.sparkSession, "merkle"))
+    if not repeats:
+        return _fingerprints(rows)
+    alike = rows.filter("copies > 1")
+    alike = alike.select(*[c for c in rows.columns if c not in ("copies", "next_text", "next_leaves", "next_root")], (F.col("copies") - 1).alias("copies"), F.col("text").alias("next_text"), F.col("leaves").alias("next_leaves"), F.col("root").alias("next_root"))
+    alike = _fingerprints(alike, "copies").withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("_copy", "copies")
+    return _fingerprints(rows).unionByName(alike)
+
+
+def _fingerprints(rows: DataFrame, *also: str) -> DataFrame:
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half))
-    rows = with_next(docs).withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", edited)
+    rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", edited)
     return with_tree(rows, "edited", "edited_").select(
         "doc_id",
         "n_chars",
@@ -154,4 +170,5 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         likeness(F.col("root"), F.col("leaves"), F.col("edited_root"), F.flatten("edited_leaves")).alias("near_edited"),
         likeness(F.col("root"), F.col("leaves"), F.col("next_root"), F.col("next_leaves")).alias("near_next"),
         F.size(differing_paragraphs()).alias("n_edited_paragraphs"),
+        *also,
     )

@@ -9,14 +9,14 @@ k-gram of least hash in it (leftmost among equals), and equal strings have equal
 So only suffixes at anchors are sorted, a few for each hundred bytes. An anchor stands for the strings
 whose anchor it is, and its surroundings are the bytes that they cover:
 
-1. Anchors with equal k-gram and equal surroundings (two 64-bit hashes) form a class; in a class, strings of all
-   but the first occurrence are repeated. Classes are pre-aggregated before the shuffle, so a
-   passage that a third of all documents hold sends one row from each task.
-2. Where a k-gram has several classes, as at the ends of a shared passage, their first occurrences fetch
-   their surroundings and are sorted as suffixes; runs of the sort with long enough common extensions,
-   to the right by the sort and to the left by hash, are equal strings. A k-gram with very many classes is not left to one
-   task: its strings are dealt by two 64-bit hashes, and the first of each is found by a map-side combined minimum.
-3. The documents join what was found in them and drop it.
+1. A task finds the anchors of its documents. Anchors with equal k-gram and surroundings (two 64-bit hashes, then byte by byte)
+   are one occurrence: the strings of all but the first are repeated. So a passage that a third of all documents hold leaves a task once.
+2. Where a k-gram has several anchors, in one task or in different ones, they fetch their
+   surroundings and are sorted as suffixes; runs of the sort with long enough common extensions,
+   to the right by the sort and to the left by hash, are equal strings, and are compared byte by byte.
+3. Anchors of a very common k-gram are first sorted where they are, so that each string leaves a task once, and then dealt by more than the
+   k-gram: by the bytes that all strings of a narrow range of offsets from the anchor hold. Equal strings still meet.
+4. The documents join what was found in them and drop it.
 """
 
 from __future__ import annotations
@@ -38,8 +38,8 @@ LENGTH, GRAM = 100, 24
 CHUNK_BYTES, GROUP_ANCHORS, GROUP_SUFFIXES = 12_000_000, 200_000, 16_000
 #: Rows taken from a batch at once, and rows of a byte-by-byte comparison.
 SLICE, COMPARED = 256, 1 << 13
-#: Surroundings of one k-gram beyond which its strings are compared by hash, dealt by that hash.
-HOT_SUFFIXES = 100_000
+#: Offsets of a string from its anchor: those of one key when the anchors of a common k-gram are dealt again.
+OFFSETS, NARROW = LENGTH - GRAM + 1, 8
 SLAB_BITS = 17
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -129,9 +129,9 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, ...]:
 
 _FOUND = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("begin", pa.int32()), ("end", pa.int32()), ("place", pa.int32()), ("gram", pa.int64())])
 _FOUND_SQL = "kind int, bucket int, data binary, doc_id long, digest long, begin int, end int, place int, gram long"
-#: Kinds of rows: packed anchors for a bucket, a repeated range, an anchor whose surroundings are asked for.
-ANCHORS, REPEATED, ASKED = 0, 1, 2
-_ANCHOR = np.dtype([("gram", "<u8"), ("around", "<u8"), ("doc", "<u4"), ("place", "<u4"), ("before", "u1"), ("more", "u1")])
+#: Kinds of rows: packed anchors for a bucket, a repeated range, an anchor whose surroundings are asked for, an anchor dealt again.
+ANCHORS, REPEATED, ASKED, DEALT = 0, 1, 2, 3
+_ANCHOR = np.dtype([("gram", "<u8"), ("doc", "<u4"), ("place", "<u4"), ("before", "u1"), ("more", "u1"), ("asked", "u1")])
 _DOC = np.dtype([("id", "<i8"), ("digest", "<i8")])
 
 
@@ -158,30 +158,77 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, _DOC, n_docs, 8), rows
 
 
-def _repeats(docs: np.ndarray, rows: np.ndarray) -> dict:
-    begin = rows["place"].astype(np.int32) - rows["before"]
-    own = docs[rows["doc"]]
-    return {"kind": np.full(len(rows), REPEATED, np.int32), "doc_id": own["id"], "digest": own["digest"], "begin": begin, "end": begin + rows["more"] + LENGTH}
+def _ranges(docs: np.ndarray, doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Table:
+    """Rows for repeated ranges; those of one document that overlap become one."""
+    if not len(doc):
+        return _table(0)
+    order = np.lexsort((begin, doc))
+    doc, begin, end = doc[order], begin[order], end[order]
+    far = np.maximum.accumulate(end + doc.astype(np.int64) * (1 << 32)) - doc.astype(np.int64) * (1 << 32)  # the furthest end so far
+    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (begin[1:] > far[:-1])))[: len(doc)]
+    heads = np.flatnonzero(new)
+    tails = np.append(heads[1:], len(doc)) - 1
+    own = docs[doc[heads]]
+    n = len(heads)
+    return _table(n, kind=np.full(n, REPEATED, np.int32), doc_id=own["id"], digest=own["digest"], begin=begin[heads].astype(np.int32), end=far[tails].astype(np.int32))
+
+
+def _equal_bytes(data: np.ndarray, i: np.ndarray, j: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether size bytes at i and at j are equal."""
+    out = np.empty(len(i), bool)
+    steps, last = np.arange(int(size.max()) if len(size) else 0), len(data) - 1
+    for k in range(0, len(i), COMPARED):
+        s = slice(k, k + COMPARED)
+        same = data[np.minimum(i[s, None] + steps, last)] == data[np.minimum(j[s, None] + steps, last)]
+        out[s] = (same | (steps >= size[s, None])).all(axis=1)
+    return out
+
+
+def first_occurrences(data: np.ndarray, rows: np.ndarray, around: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which rows, in order of occurrence, hold surroundings that no earlier one has. Hashes propose, bytes decide."""
+    order = np.lexsort((around, rows["gram"]))
+    gram, where = rows["gram"][order], around[order]
+    head = np.concatenate(([True], (gram[1:] != gram[:-1]) | (where[1:] != where[:-1])))[: len(order)]
+    first = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+    later = order[~head]
+    of = first[~head]
+    size = rows["more"][later].astype(np.int64) + LENGTH
+    same = (rows["before"][later] == rows["before"][of]) & (rows["more"][later] == rows["more"][of])
+    same[same] = _equal_bytes(data, start[later][same], start[of][same], size[same])
+    out = np.ones(len(rows), bool)
+    out[later[same]] = False
+    return out
 
 
 def _find(buckets: int):
     def chunk(held: list[tuple[int, int, bytes]]) -> Iterator[pa.Table]:
         held.sort(key=lambda x: x[:2])
         docs = np.array([x[:2] for x in held], _DOC)
-        parts = []
-        for i, (_, _, data) in enumerate(held):
-            q, lo, hi, gram, around = anchors(np.frombuffer(data, np.uint8))
+        data = np.frombuffer(b"".join([x[2] for x in held]), np.uint8)
+        parts, arounds, starts, base = [], [], [], 0
+        for i, (_, _, text) in enumerate(held):
+            q, lo, hi, gram, around = anchors(data[base : base + len(text)])
             rows = np.empty(len(q), _ANCHOR)
-            rows["gram"], rows["around"], rows["doc"], rows["place"], rows["before"], rows["more"] = gram, around, i, q, q - lo, hi - lo
+            rows["gram"], rows["doc"], rows["place"], rows["before"], rows["more"], rows["asked"] = gram, i, q, q - lo, hi - lo, 0
             parts.append(rows)
+            arounds.append(around)
+            starts.append(lo + base)
+            base += len(text)
         rows = np.concatenate(parts)
-        # documents are in order, so the first of a class is its first occurrence
-        _, first = np.unique(mix(rows["gram"] * np.uint64(_BASE) + rows["around"]), return_index=True)
-        later = np.ones(len(rows), bool)
-        later[first] = False
-        if later.any():
-            yield _table(int(later.sum()), **_repeats(docs, rows[later]))
-        rows = rows[~later]
+        # documents are in order, so the first of those alike is the first occurrence
+        fresh = first_occurrences(data, rows, np.concatenate(arounds), np.concatenate(starts))
+        begin = rows["place"].astype(np.int64) - rows["before"]
+        if not fresh.all():
+            yield _ranges(docs, rows["doc"][~fresh], begin[~fresh], begin[~fresh] + rows["more"][~fresh] + LENGTH)
+        rows, begin = rows[fresh], begin[fresh]
+        order = np.argsort(rows["gram"], kind="stable")
+        rows, begin = rows[order], begin[order]
+        head = np.concatenate(([True], rows["gram"][1:] != rows["gram"][:-1]))[: len(rows)]
+        alone = head & np.concatenate((head[1:], [True]))[: len(rows)]
+        if not alone.all():  # these meet in this task already
+            yield _asks(docs, rows[~alone], begin[~alone])
+        rows = rows[head]
+        rows["asked"] = ~alone[head]
         bucket = (rows["gram"] >> np.uint64(20)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[order])) + 1
@@ -207,8 +254,13 @@ def _find(buckets: int):
     return run
 
 
+def _asks(docs: np.ndarray, rows: np.ndarray, begin: np.ndarray) -> pa.Table:
+    own, n = docs[rows["doc"]], len(rows)
+    return _table(n, kind=np.full(n, ASKED, np.int32), doc_id=own["id"], digest=own["digest"], begin=begin.astype(np.int32), end=(begin + rows["more"] + LENGTH).astype(np.int32), place=rows["place"].astype(np.int32), gram=rows["gram"].view(np.int64))
+
+
 def _resolve(table: pa.Table) -> pa.Table:
-    """The anchors of one bucket: what is repeated, and whose surroundings are needed."""
+    """The anchors of one bucket, one of each k-gram from each task: those whose k-gram another task has too are asked for."""
     parts = [_unpack(x) for x in table.column("data").to_pylist()]
     shift, every = 0, []
     for docs, rows in parts:
@@ -216,22 +268,13 @@ def _resolve(table: pa.Table) -> pa.Table:
         shift += len(docs)
         every.append(rows)
     docs, rows = np.concatenate([d for d, _ in parts]), np.concatenate(every)
-    docs, renumbered = np.unique(docs, return_inverse=True)  # sorted by id, then digest
-    rows["doc"] = renumbered[rows["doc"]]
-    order = np.lexsort((rows["place"], rows["doc"], rows["around"], rows["gram"]))
-    rows = rows[order]
-    twin = np.zeros(len(rows), bool)  # the same row of the table twice
-    twin[1:] = (rows["doc"][1:] == rows["doc"][:-1]) & (rows["place"][1:] == rows["place"][:-1]) & (rows["around"][1:] == rows["around"][:-1]) & (rows["gram"][1:] == rows["gram"][:-1])
-    rows = rows[~twin]
-    new_gram = np.concatenate(([True], rows["gram"][1:] != rows["gram"][:-1]))
-    new_class = new_gram | np.concatenate(([True], rows["around"][1:] != rows["around"][:-1]))
-    classes = np.bincount(np.cumsum(new_gram) - 1, weights=new_class)
-    asked = rows[new_class & (classes[np.cumsum(new_gram) - 1] > 1)]
-    later = rows[~new_class]
-    own = docs[asked["doc"]]
-    begin = asked["place"].astype(np.int32) - asked["before"]
-    asks = _table(len(asked), kind=np.full(len(asked), ASKED, np.int32), doc_id=own["id"], digest=own["digest"], begin=begin, end=begin + asked["more"] + LENGTH, place=asked["place"].astype(np.int32), gram=asked["gram"].view(np.int64))
-    return pa.concat_tables([_table(len(later), **_repeats(docs, later)), asks])
+    rows = rows[np.argsort(rows["gram"], kind="stable")]
+    same = rows["gram"][1:] == rows["gram"][:-1]
+    met = np.zeros(len(rows), bool)
+    met[1:] |= same
+    met[:-1] |= same
+    rows = rows[met & (rows["asked"] == 0)]
+    return _asks(docs, rows, rows["place"].astype(np.int64) - rows["before"])
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,41 +284,111 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, SLICE)
 
 
+_PIECE = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("begin", pa.int32()), ("end", pa.int32()), ("place", pa.int32()), ("bytes", pa.binary())])
+_PIECE_SQL = "kind int, key long, low int, high int, doc_id long, digest long, begin int, end int, place int, bytes binary"
+
+
+def _piece_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECE, strict=True)], schema=_PIECE)
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The surroundings of each anchor asked for in a document."""
-    names = ["bucket", "gram", "doc_id", "digest", "begin", "place", "bytes"]
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    """The surroundings of each anchor asked for in a document. low and high: which offsets from the anchor its strings may have."""
     for batch in slices(batches):
         rows = []
         for doc, digest, text, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            rows += [(a["bucket"], a["gram"], doc, digest, a["begin"], a["place"], text[a["begin"] : a["end"]]) for a in asked]
+            rows += [(DEALT, a["gram"], 0, OFFSETS, doc, digest, a["begin"], a["end"], a["place"], text[a["begin"] : a["end"]]) for a in asked]
             if len(rows) > 20_000:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                yield _piece_rows(rows)
                 rows = []
         if rows:
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+            yield _piece_rows(rows)
 
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The hashes of all strings of the surroundings asked for in a document."""
-    from xxhash import xxh128_digest
+def _narrowed(width: int):
+    """Rows once more for each width offsets, with a key of all bytes that strings of these offsets share; bytes that they don't use are left out."""
+    from xxhash import xxh64_intdigest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = []
+            for _, _, low, high, doc, digest, begin, end, place, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at = place - begin
+                for first in range(low // width * width, high, width):
+                    past = min(first + width, OFFSETS)
+                    least, most = max(first, low, at + LENGTH - len(data)), min(past, high, at + 1) - 1
+                    if least <= most:
+                        key = xxh64_intdigest(data[at - first : at + LENGTH - past + 1], first * 128 + past)
+                        own = data[at - most : at + LENGTH - least]
+                        rows.append((DEALT, key - (1 << 64) if key >> 63 else key, least, most + 1, doc, digest, place - most, place - most + len(own), place, own))
+            for k in range(0, len(rows), 20_000):
+                yield _piece_rows(rows[k : k + 20_000])
+
+    return run
 
-    names = ["doc_id", "digest", "begin", "one", "two"]
-    for batch in slices(batches):
-        for doc, digest, text, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            begin = [p for a in asked for p in range(a["begin"], a["end"] - LENGTH + 1)]
-            hashes = np.frombuffer(b"".join([xxh128_digest(text[p : p + LENGTH]) for p in begin]), "<i8").reshape(-1, 2)
-            yield pa.record_batch([pa.array([doc] * len(begin), pa.int64()), pa.array([digest] * len(begin), pa.int64()), pa.array(begin, pa.int32()), pa.array(hashes[:, 0]), pa.array(hashes[:, 1])], names=names)
 
+def _firsts(limit: int):
+    """From rows in order of key: repeated ranges among those of one task, and the rows with what is left of their offsets."""
+
+    def some(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        begin, place, low, high = (table.column(c).to_numpy().astype(np.int64) for c in ("begin", "place", "low", "high"))
+        repeated = repeated_starts(table)
+        steps = np.arange(repeated.shape[1])
+        offset = (place - begin)[:, None] - steps
+        size = np.array([len(x) for x in table.column("bytes").to_pylist()])
+        left = ~repeated & (offset >= low[:, None]) & (offset < high[:, None]) & (steps + LENGTH <= size[:, None])
+        ranges = _repeated_ranges(table, repeated)
+        none = [pa.nulls(ranges.num_rows, f.type) for f in _PIECE]
+        told = {c: ranges.column(c).combine_chunks() for c in ("kind", "doc_id", "digest", "begin", "end")}
+        yield from pa.Table.from_arrays([told.get(f.name, n) for f, n in zip(_PIECE, none, strict=True)], schema=_PIECE).to_batches()
+        kept = np.flatnonzero(left.any(axis=1))
+        most = offset[kept, left[kept].argmax(axis=1)]
+        least = offset[kept, left.shape[1] - 1 - left[kept][:, ::-1].argmax(axis=1)]
+        rows = table.take(pa.array(kept))
+        for name, values in (("low", least), ("high", most + 1)):
+            rows = rows.set_column(rows.schema.get_field_index(name), name, pa.array(values, pa.int32()))
+        yield from rows.cast(_PIECE).to_batches()
 
-def _hot_ranges(rows: DataFrame, per_doc: DataFrame) -> DataFrame:
-    """Repeated ranges among the strings of k-grams with very many classes."""
-    asked = rows.join(per_doc, ["doc_id", "digest"]).select("doc_id", "digest", "text", "asked")
-    strings = asked.mapInArrow(_strings, "doc_id long, digest long, begin int, one long, two long")
-    order = F.struct("doc_id", "digest", "begin")
-    firsts = strings.groupBy("one", "two").agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    later = strings.join(firsts, ["one", "two"]).filter(order != F.col("_first"))
-    return later.select("doc_id", "digest", "begin", (F.col("begin") + LENGTH).alias("end"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, limit):
+                part = batch.slice(at, limit)
+                if n and n + part.num_rows > limit:
+                    yield from some(pa.Table.from_batches(held, _PIECE))
+                    held, n = [], 0
+                held.append(part.cast(_PIECE) if part.schema != _PIECE else part)
+                n += part.num_rows
+        if n:
+            yield from some(pa.Table.from_batches(held, _PIECE))
+
+    return run
+
+
+def _common_keys(pieces: DataFrame, scratch: Scratch, limit: int) -> DataFrame:
+    """Repeated ranges among stored rows whose keys have more than limit of them."""
+    ranges, width = None, NARROW
+    while True:
+        tasks = max(1, pieces.count() // (4 * limit))
+        local = scratch.save(pieces.coalesce(tasks).sortWithinPartitions("key").mapInArrow(_firsts(limit), _PIECE_SQL))
+        here = local.filter(F.col("kind") == REPEATED)
+        dealt = scratch.save(local.filter(F.col("kind") == DEALT).mapInArrow(_narrowed(width), _PIECE_SQL))
+        counts = dealt.groupBy("key").count().filter("count > 1")
+        counts = scratch.save(counts)
+        some = dealt.join(counts.filter(F.col("count") <= limit).select("key"), "key")
+        here = here.select("doc_id", "digest", "begin", "end").unionByName(_sorted(some, limit))
+        ranges = here if ranges is None else ranges.unionByName(here)
+        hot = counts.filter(F.col("count") > limit).select("key")
+        if not hot.limit(1).count():
+            return ranges
+        pieces, width = scratch.save(dealt.join(hot, "key", "left_semi").select(_PIECE.names)), 1
+
+
+def _sorted(pieces: DataFrame, limit: int, rows: int | None = None) -> DataFrame:
+    """Repeated ranges among rows of equal keys; keys are dealt to groups of about limit rows."""
+    groups = max(1, math.ceil((pieces.count() if rows is None else rows) / limit))
+    dealt = pieces.withColumn("_bucket", F.pmod(F.shiftright("key", 20), F.lit(groups)).cast("int"))
+    return dealt.groupBy("_bucket").applyInArrow(repeated_strings, _FOUND_SQL).select("doc_id", "digest", "begin", "end")
 
 
 def suffix_order(text: Hashed, begin: np.ndarray, end: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -347,8 +460,14 @@ def _exact_common(data: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarr
 
 
 def repeated_strings(table: pa.Table) -> pa.Table:
-    """From surroundings that share their grams: ranges whose strings stand earlier in another one."""
-    gram = table.column("gram").to_numpy().view(np.uint64)
+    """From surroundings that share their keys: ranges whose strings stand earlier in another one."""
+    return _repeated_ranges(table, repeated_starts(table))
+
+
+def repeated_starts(table: pa.Table) -> np.ndarray:
+    """For each row, by string start from its begin: whether that string stands earlier in a row of the same key."""
+    gram = table.column("key").to_numpy().view(np.uint64)
+    least, past = (table.column(c).to_numpy() for c in ("low", "high"))
     doc_id, digest = (table.column(c).to_numpy() for c in ("doc_id", "digest"))
     lo, place = (table.column(c).to_numpy().astype(np.int64) for c in ("begin", "place"))
     pieces = table.column("bytes").to_pylist()
@@ -380,7 +499,7 @@ def repeated_strings(table: pa.Table) -> pa.Table:
         in_run[:-1] |= joined
         in_run[1:] |= joined
         begin = anchor[order] - before
-        fit = in_run & (begin >= start[order]) & (begin + LENGTH <= (start + size)[order])
+        fit = in_run & (begin >= start[order]) & (begin + LENGTH <= (start + size)[order]) & (least[order] <= before) & (before < past[order])
         k = np.flatnonzero(fit)
         if len(k) < 2:
             continue
@@ -394,11 +513,19 @@ def repeated_strings(table: pa.Table) -> pa.Table:
         same = np.concatenate([(text.data[i[c : c + COMPARED, None] + steps] == text.data[j[c : c + COMPARED, None] + steps]).all(axis=1) for c in range(0, len(i), COMPARED)] or [np.empty(0, bool)])
         who = order[k[later[same]]]
         repeated[who, anchor[who] - before - start[who]] = True
+    return repeated
+
+
+def _repeated_ranges(table: pa.Table, repeated: np.ndarray) -> pa.Table:
+    n = len(repeated)
+    lo = table.column("begin").to_numpy().astype(np.int64)
     flat = np.diff(np.concatenate((np.zeros((n, 1), np.int8), repeated.astype(np.int8)), axis=1), axis=1)
     who, first = np.nonzero(flat == 1)
     _, past = np.nonzero(flat == -1)
-    begin = (lo[who] + first).astype(np.int32)
-    return _table(len(who), kind=np.full(len(who), REPEATED, np.int32), doc_id=doc_id[who], digest=digest[who], begin=begin, end=(lo[who] + past - 1 + LENGTH).astype(np.int32))
+    own = np.empty(n, _DOC)
+    own["id"], own["digest"] = table.column("doc_id").to_numpy(), table.column("digest").to_numpy()
+    docs, doc = np.unique(own, return_inverse=True)
+    return _ranges(docs, doc[who], lo[who] + first, lo[who] + past - 1 + LENGTH)
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,9 +533,9 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
     for batch in slices(batches):
         rows = []
-        for doc, text, spans, copy in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            cuts: list[list[int]] = [[0, len(text)]] if copy > 1 and len(text) >= LENGTH else []
-            for s in [] if cuts else sorted((s["begin"], s["end"]) for s in spans or ()):
+        for doc, text, spans, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            cuts: list[list[int]] = []
+            for s in sorted((s["begin"], s["end"]) for s in spans or ()):
                 if cuts and s[0] <= cuts[-1][1]:
                     cuts[-1][1] = max(cuts[-1][1], s[1])
                 else:
@@ -419,6 +546,12 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = end
             rest = b"".join([*kept, text[at:]])
             rows.append((doc, len(text), len(text) - len(rest), len(cuts), hashlib.sha256(rest).hexdigest(), rest))
+            again = text if len(text) < LENGTH else b""  # what is left of a later row with the same doc_id and text
+            for _ in range(copies - 1):
+                rows.append((doc, len(text), len(text) - len(again), int(again != text), hashlib.sha256(again).hexdigest(), again))
+                if len(rows) > 20_000:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                    rows = []
         if rows:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
@@ -426,7 +559,7 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left) for every row.
 
-    A null text counts as empty; a text of fewer than 100 bytes loses nothing. Rows of one doc_id are ordered by their
+    A null text counts as empty; a text of fewer than 100 bytes loses nothing; one of any length is searched as a whole. Rows of one doc_id are ordered by their
     texts' hashes; of wholly equal rows all but one are later copies. A null doc_id comes before all others. An empty table gives no rows; columns besides doc_id and
     text are not read.
     """
@@ -434,32 +567,42 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     lowest = F.lit(-(1 << 63)).cast("long")
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), lowest).alias("doc_id"), F.xxhash64(text).alias("digest"), text.cast("binary").alias("text"))
+    key = ["doc_id", "digest"]
+    # equal rows are brought together by a map-side combined aggregate and searched once
+    repeated = scratch.save(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"))
+    rows = rows.withColumn("copies", F.lit(1).cast("long"))
+    if repeated.limit(1).count():
+        several = rows.drop("copies").join(repeated, key)
+        # rows that only their hash makes equal stay apart
+        one = several.groupBy(*key, "text").agg(F.count(F.lit(1)).alias("copies")).withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("text")) - 1)
+        one = one.select("doc_id", (F.col("digest") + F.col("_n")).alias("digest"), "text", "copies")
+        rows = scratch.save(rows.join(repeated, key, "left_anti").unionByName(one))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(total / 39 / GROUP_ANCHORS))
-    dealt = rows.mapInArrow(_find(buckets), _FOUND_SQL)
-    # repeated ranges found before the shuffle pass through; packed anchors meet in their bucket
-    spread = F.when(F.col("kind") == ANCHORS, F.col("bucket")).otherwise(F.pmod(F.xxhash64("doc_id", "digest"), F.lit(buckets)).cast("int"))
+    dealt = rows.select(*key, "text").mapInArrow(_find(buckets), _FOUND_SQL)
+    # what is found before the shuffle passes through; packed anchors meet in their bucket
+    spread = F.when(F.col("kind") == ANCHORS, F.col("bucket")).otherwise(F.pmod(F.xxhash64("doc_id", "digest", "begin"), F.lit(buckets)).cast("int"))
     found = scratch.save(dealt.groupBy(spread.alias("_bucket")).applyInArrow(_meet, _FOUND_SQL))
     scratch.release()
-    asked = found.filter(F.col("kind") == ASKED)
-    hot = scratch.save(asked.groupBy("gram").count().filter(F.col("count") > HOT_SUFFIXES).select("gram"))
-    crowded = bool(hot.limit(1).count())
-    few = asked.join(hot, "gram", "left_anti") if crowded else asked
-    groups = max(1, math.ceil(few.count() / GROUP_SUFFIXES))
-    bucket = F.pmod(F.shiftright("gram", 20), F.lit(groups)).cast("int").alias("bucket")
-    asking = lambda some: some.groupBy("doc_id", "digest").agg(F.collect_list(F.struct(bucket, "gram", "begin", "end", "place")).alias("asked"))
-    per_doc = asking(few)
-    fetched = rows.join(per_doc, ["doc_id", "digest"]).select("doc_id", "digest", "text", "asked")
-    fetched = fetched.mapInArrow(_cut, "bucket int, gram long, doc_id long, digest long, begin int, place int, bytes binary")
-    edges = fetched.groupBy("bucket").applyInArrow(repeated_strings, _FOUND_SQL).select("doc_id", "digest", "begin", "end")
-    if crowded:
-        edges = edges.unionByName(_hot_ranges(rows, asking(asked.join(hot, "gram", "left_semi"))))
+    asked = found.filter(F.col("kind") == ASKED).select(*key, "begin", "end", "place", "gram")
+    counts = asked.groupBy("gram").count().filter(F.col("count") > GROUP_SUFFIXES)
+    common = scratch.save(counts)
+    n_common = common.agg(F.sum("count")).first()[0] or 0
+
+    def pieces(some: DataFrame) -> DataFrame:
+        per_doc = some.groupBy(*key).agg(F.collect_list(F.struct("gram", "begin", "end", "place")).alias("asked"))
+        return rows.join(per_doc, key).select(*key, "text", "asked").mapInArrow(_cut, _PIECE_SQL)
+
+    few = asked.join(common.select("gram"), "gram", "left_anti") if n_common else asked
+    edges = _sorted(pieces(few), GROUP_SUFFIXES, asked.count() - n_common)
+    if n_common:
+        hot = scratch.save(pieces(asked.join(common.select("gram"), "gram", "left_semi")))
+        edges = edges.unionByName(_common_keys(hot, scratch, GROUP_SUFFIXES))
     edges = scratch.save(edges)
     scratch.release()
     ranges = found.filter(F.col("kind") == REPEATED).select("doc_id", "digest", "begin", "end").unionByName(edges)
-    per_doc = ranges.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    copy = F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy(F.lit(0))).alias("copy")
-    told = rows.join(per_doc, ["doc_id", "digest"], "left").select("doc_id", "text", "spans", copy)
+    per_doc = ranges.groupBy(*key).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    told = rows.join(per_doc, key, "left").select("doc_id", "text", "spans", "copies")
     kept = told.mapInArrow(_keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return kept.withColumn("doc_id", F.nullif("doc_id", lowest))
 

@@ -10,15 +10,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwise.llm.ordering import in_order, with_ranks
 from siftwise.llm.scratch import Scratch
 
 #: Consecutive ids that share a file, and children of a tree's node.
 FILE_IDS, FANOUT = 1_000, 16
-#: Levels above the leaves: the root covers FANOUT ** LEVELS leaves.
-LEVELS = 3
 
 
 def record_text(page_id: Column, url: Column, html: Column) -> Column:
@@ -50,7 +49,8 @@ def to_records(pages: DataFrame, file_ids: int = FILE_IDS) -> DataFrame:
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """A folder of WARC files for each `file`. Any file system that Spark writes to serves."""
+    """A folder of WARC files for each `file`. Any file system that Spark writes to serves. Nulls and repeated records are as
+    to_records() made them; an empty table makes an empty folder."""
     ordered = records.repartition("file").sortWithinPartitions("file", "page_id", "place")
     ordered.select("file", "record").write.partitionBy("file").option("lineSep", "\n").text(path)
 
@@ -69,7 +69,8 @@ def parse_warc(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
 
 
 def read_warc(spark, path: str) -> DataFrame:
-    """file, offset, page_id, url, html of the records under a folder that write_warc() made. A file is read by one task."""
+    """file, offset, page_id, url, html of the records under a folder that write_warc() made. A file is read by one task, whatever
+    its length. A null page_id is read back as null, a null url or html as an empty one; repeated records are rows each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,49 +87,56 @@ def read_warc(spark, path: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "file long, offset long, page_id long, url string, html string")
 
 
-def manifest(records: DataFrame) -> DataFrame:
+def manifest(records: DataFrame, scratch: Scratch) -> DataFrame:
     """file, seq, page_id, offset, length, digest: what an archive says of each record, in order of page_id.
 
-    Offsets and sequence numbers follow from lengths, so the order is by a file's own records only.
+    Offsets and sequence numbers follow from lengths by a range sort, so a file of any number of records is spread over tasks.
     """
-    slim = records.select("file", "page_id", "place", (F.octet_length("record") + 1).cast("long").alias("length"), F.sha2(F.concat("record", F.lit("\n")), 256).alias("digest"))
-    order = Window.partitionBy("file").orderBy("page_id", "place")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    return slim.withColumn("seq", F.row_number().over(order) - 1).withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    length = (F.octet_length("record") + 1).cast("long")
+    slim = scratch.save(records.select("file", "page_id", "place", length.alias("length"), F.sha2(F.concat("record", F.lit("\n")), 256).alias("digest")))
+    ordered = in_order(slim, scratch, "file", "page_id", "place", "digest")
+    return scratch.save(with_ranks(ordered, ["file"], "seq", offset="length").drop("place"))
 
 
-def tree_levels(leaves: DataFrame, levels: int = LEVELS) -> list[DataFrame]:
-    """From file, seq, offset, length, digest: level 0 are the leaves, the last level the roots.
+def levels_for(*leaves: DataFrame) -> int:
+    """Levels above the leaves until one node is left of the longest file."""
+    longest = max(t.agg(F.max("seq")).first()[0] or 0 for t in leaves)
+    levels = 1
+    while longest >= FANOUT**levels:
+        levels += 1
+    return levels
 
-    Nodes: file, node, begin, end (the offset range), hash. A node's hash covers its range and its children's hashes. The last
-    level joins all that is left, so files may have more than FANOUT ** levels records.
+
+def tree_levels(leaves: DataFrame, levels: int, scratch: Scratch | None = None) -> list[DataFrame]:
+    """From file, seq, offset, length, digest: level 0 are the leaves, the last level the roots; each stored once if scratch is given.
+
+    Nodes: file, node, begin, end (the offset range), hash. A node's hash covers its range and those of its FANOUT children at most.
     """
+    save = scratch.save if scratch else lambda t: t
     end = F.col("offset") + F.col("length")
-    made = [leaves.select("file", F.col("seq").cast("long").alias("node"), F.col("offset").alias("begin"), end.alias("end"), F.col("digest").alias("hash"))]
-    for level in range(1, levels + 1):
-        parent = F.floor(F.col("node") / FANOUT) if level < levels else F.lit(0).cast("long")
+    made = [save(leaves.select("file", F.col("seq").cast("long").alias("node"), F.col("offset").alias("begin"), end.alias("end"), F.col("digest").alias("hash")))]
+    for _ in range(levels):
         children = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node", "hash"))), lambda c: c["hash"]), ",")
         begin, end = F.min("begin"), F.max("end")
         digest = F.sha2(F.concat_ws(":", begin.cast("string"), end.cast("string"), children), 256)
-        made.append(made[-1].groupBy("file", parent.alias("node")).agg(begin.alias("begin"), end.alias("end"), digest.alias("hash")))
+        nodes = made[-1].groupBy("file", F.floor(F.col("node") / FANOUT).alias("node"))
+        made.append(save(nodes.agg(begin.alias("begin"), end.alias("end"), digest.alias("hash"))))
     return made
 
 
-def audit(first: list[DataFrame], second: list[DataFrame]) -> DataFrame:
-    """file and node of the leaves that differ between two trees, missing ones too.
+def audit(first: list[DataFrame], second: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """file and node of the leaves that differ between two trees of equal height, missing ones too.
 
     Files whose roots agree are left at once; below, only children of mismatching nodes are compared.
     """
     wrong = None
-    top = len(first) - 1
-    for level in range(top, -1, -1):
+    for level in range(len(first) - 1, -1, -1):
         a, b = (t[level].select("file", "node", "hash") for t in (first, second))
         if wrong is not None:
-            parent = F.floor(F.col("node") / FANOUT) if level + 1 < top else F.lit(0).cast("long")
             up = wrong.select(F.col("file").alias("_file"), F.col("node").alias("_node"))
-            a, b = (t.join(up, (t["file"] == up["_file"]) & (parent == up["_node"]), "left_semi") for t in (a, b))
+            a, b = (t.join(up, (t["file"] == up["_file"]) & (F.floor(t["node"] / FANOUT) == up["_node"]), "left_semi") for t in (a, b))
         both = a.join(b.select("file", "node", F.col("hash").alias("other")), ["file", "node"], "full")
-        wrong = both.filter(~F.col("hash").eqNullSafe(F.col("other"))).select("file", "node")
+        wrong = scratch.save(both.filter(~F.col("hash").eqNullSafe(F.col("other"))).select("file", "node"))
     return wrong
 
 
@@ -144,14 +152,14 @@ def audit_pages(pages: DataFrame) -> DataFrame:
     """Archives pages, damages a replica as damaged() says, audits it, and returns every record.
 
     page_id, file, seq, record_offset, record_length, digest, corrupt. A null url or html is written as
-    an empty one; null page_ids are dealt to files of their own; repeated rows are records each, equal ones in any order; an empty table gives no rows; other
-    columns are not read.
+    an empty one; null page_ids are dealt to files of their own; repeated rows are records each, equal ones in any order; a very long
+    page is one record; an empty table gives no rows; other columns are not read.
     """
     scratch = Scratch(pages.sparkSession, "warc")
     records = to_records(pages)
-    kept = scratch.save(manifest(records))
-    replica = scratch.save(manifest(damaged(records)))
-    wrong = audit(tree_levels(kept), tree_levels(replica)).select(F.col("file").alias("_file"), F.col("node").alias("_node"))
+    kept, replica = manifest(records, scratch), manifest(damaged(records), scratch)
+    levels = levels_for(kept, replica)
+    wrong = audit(tree_levels(kept, levels, scratch), tree_levels(replica, levels, scratch), scratch).select(F.col("file").alias("_file"), F.col("node").alias("_node"))
     told = kept.join(wrong, (F.col("file") == F.col("_file")) & (F.col("seq") == F.col("_node")), "left")
     return told.select(
         "page_id", "file", F.col("seq").cast("long").alias("seq"), F.col("offset").alias("record_offset"), F.col("length").alias("record_length"), "digest", F.col("_node").isNotNull().alias("corrupt")

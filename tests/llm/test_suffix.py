@@ -52,8 +52,10 @@ def test_real_documents(spark):
     assert found(docs) == expected([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
-def test_crowded_grams_are_dealt_by_string(spark, monkeypatch):
-    monkeypatch.setattr(suffix, "HOT_SUFFIXES", 2)
+def test_common_grams_are_dealt_again(spark, monkeypatch):
+    """Keys of more than four rows are narrowed down to single offsets; nothing is left out."""
+    monkeypatch.setattr(suffix, "GROUP_SUFFIXES", 4)
+    monkeypatch.setattr(suffix, "CHUNK_BYTES", 2_000)
     draw = random.Random(5)
     words = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
     line = words(180)
@@ -61,6 +63,22 @@ def test_crowded_grams_are_dealt_by_string(spark, monkeypatch):
     assert found(documents(spark, texts)) == expected(list(enumerate(texts)))
 
 
+def test_colliding_hashes_remove_nothing_wrong(spark, monkeypatch):
+    """All k-grams and surroundings fall on three hashes: bytes decide."""
+    monkeypatch.setattr(suffix, "mix", lambda x: (x % np.uint64(3)) << np.uint64(40))
+    monkeypatch.setattr(suffix, "CHUNK_BYTES", 3_000)
+    draw = random.Random(6)
+    texts = ["".join(draw.choice("abcd ") for _ in range(draw.randint(90, 400))) for _ in range(12)]
+    texts += [texts[0], texts[1][20:] + texts[2], texts[3][:150] + "x" + texts[3][150:]] + awkward()[:8]
+    assert found(documents(spark, texts)) == expected(list(enumerate(texts)))
+
+
+def test_very_long_texts(spark):
+    text = "".join(random.Random(3).choices("abcdefghij ", k=600_000))
+    rows = {r["doc_id"]: r for r in suffix.remove_repeats(documents(spark, [text, "x" + text[1000:500_000], "y" * 300_000])).collect()}
+    assert [rows[i]["n_removed"] for i in range(3)] == [0, 499_000, 299_999]
+
+
 def test_anchors_cover_all_strings_and_agree(monkeypatch):
     """Each string start belongs to one anchor, equal strings to anchors of one gram and place, across slabs too."""
     for bits in (17, 8):

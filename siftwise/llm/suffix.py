@@ -11,8 +11,9 @@ whose anchor it is, and its surroundings are the bytes that they cover:
 
 1. A task finds the anchors of its documents. Anchors with equal k-gram and surroundings (two 64-bit hashes, then byte by byte)
    are one occurrence: the strings of all but the first are repeated. So a passage that a third of all documents hold leaves a task once.
-2. Where a k-gram has several anchors, in one task or in different ones, they fetch their
-   surroundings and are sorted as suffixes; runs of the sort with long enough common extensions,
+   Of those of different tasks, the ones with equal k-gram, shape and surroundings by both hashes are told by the hashes alone.
+2. Where a k-gram has several surroundings, as at the ends of a shared passage, their first occurrences fetch
+   them and are sorted as suffixes; runs of the sort with long enough common extensions,
    to the right by the sort and to the left by hash, are equal strings, and are compared byte by byte.
 3. Anchors of a very common k-gram are first sorted where they are, so that each string leaves a task once, and then dealt by more than the
    k-gram: by the bytes that all strings of a narrow range of offsets from the anchor hold. Equal strings still meet.
@@ -40,6 +41,8 @@ CHUNK_BYTES, GROUP_ANCHORS, GROUP_SUFFIXES = 12_000_000, 200_000, 16_000
 SLICE, COMPARED = 256, 1 << 13
 #: Offsets of a string from its anchor: those of one key when the anchors of a common k-gram are dealt again.
 OFFSETS, NARROW = LENGTH - GRAM + 1, 8
+#: Anchors of one k-gram that a task sends to meet those of others; of more it sends one and asks for the surroundings of all.
+MEETING = 64
 SLAB_BITS = 17
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -131,7 +134,7 @@ _FOUND = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("data", pa.bi
 _FOUND_SQL = "kind int, bucket int, data binary, doc_id long, digest long, begin int, end int, place int, gram long"
 #: Kinds of rows: packed anchors for a bucket, a repeated range, an anchor whose surroundings are asked for, an anchor dealt again.
 ANCHORS, REPEATED, ASKED, DEALT = 0, 1, 2, 3
-_ANCHOR = np.dtype([("gram", "<u8"), ("doc", "<u4"), ("place", "<u4"), ("before", "u1"), ("more", "u1"), ("asked", "u1")])
+_ANCHOR = np.dtype([("gram", "<u8"), ("around", "<u8"), ("doc", "<u4"), ("place", "<u4"), ("before", "u1"), ("more", "u1"), ("asked", "u1")])
 _DOC = np.dtype([("id", "<i8"), ("digest", "<i8")])
 
 
@@ -184,10 +187,10 @@ def _equal_bytes(data: np.ndarray, i: np.ndarray, j: np.ndarray, size: np.ndarra
     return out
 
 
-def first_occurrences(data: np.ndarray, rows: np.ndarray, around: np.ndarray, start: np.ndarray) -> np.ndarray:
+def first_occurrences(data: np.ndarray, rows: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Which rows, in order of occurrence, hold surroundings that no earlier one has. Hashes propose, bytes decide."""
-    order = np.lexsort((around, rows["gram"]))
-    gram, where = rows["gram"][order], around[order]
+    order = np.lexsort((rows["around"], rows["gram"]))
+    gram, where = rows["gram"][order], rows["around"][order]
     head = np.concatenate(([True], (gram[1:] != gram[:-1]) | (where[1:] != where[:-1])))[: len(order)]
     first = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
     later = order[~head]
@@ -205,18 +208,17 @@ def _find(buckets: int):
         held.sort(key=lambda x: x[:2])
         docs = np.array([x[:2] for x in held], _DOC)
         data = np.frombuffer(b"".join([x[2] for x in held]), np.uint8)
-        parts, arounds, starts, base = [], [], [], 0
+        parts, starts, base = [], [], 0
         for i, (_, _, text) in enumerate(held):
             q, lo, hi, gram, around = anchors(data[base : base + len(text)])
             rows = np.empty(len(q), _ANCHOR)
-            rows["gram"], rows["doc"], rows["place"], rows["before"], rows["more"], rows["asked"] = gram, i, q, q - lo, hi - lo, 0
+            rows["gram"], rows["around"], rows["doc"], rows["place"], rows["before"], rows["more"], rows["asked"] = gram, around, i, q, q - lo, hi - lo, 0
             parts.append(rows)
-            arounds.append(around)
             starts.append(lo + base)
             base += len(text)
         rows = np.concatenate(parts)
         # documents are in order, so the first of those alike is the first occurrence
-        fresh = first_occurrences(data, rows, np.concatenate(arounds), np.concatenate(starts))
+        fresh = first_occurrences(data, rows, np.concatenate(starts))
         begin = rows["place"].astype(np.int64) - rows["before"]
         if not fresh.all():
             yield _ranges(docs, rows["doc"][~fresh], begin[~fresh], begin[~fresh] + rows["more"][~fresh] + LENGTH)
@@ -224,11 +226,12 @@ def _find(buckets: int):
         order = np.argsort(rows["gram"], kind="stable")
         rows, begin = rows[order], begin[order]
         head = np.concatenate(([True], rows["gram"][1:] != rows["gram"][:-1]))[: len(rows)]
-        alone = head & np.concatenate((head[1:], [True]))[: len(rows)]
-        if not alone.all():  # these meet in this task already
-            yield _asks(docs, rows[~alone], begin[~alone])
-        rows = rows[head]
-        rows["asked"] = ~alone[head]
+        crowd = np.diff(np.append(np.flatnonzero(head), len(rows))) > MEETING
+        crowded = np.repeat(crowd, np.diff(np.append(np.flatnonzero(head), len(rows))))
+        if crowded.any():
+            yield _asks(docs, rows[crowded], begin[crowded])
+        rows["asked"] = crowded
+        rows = rows[~crowded | head]
         bucket = (rows["gram"] >> np.uint64(20)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[order])) + 1
@@ -260,7 +263,8 @@ def _asks(docs: np.ndarray, rows: np.ndarray, begin: np.ndarray) -> pa.Table:
 
 
 def _resolve(table: pa.Table) -> pa.Table:
-    """The anchors of one bucket, one of each k-gram from each task: those whose k-gram another task has too are asked for."""
+    """The anchors of one bucket: those whose k-gram and surroundings (by two hashes and their shape) stand earlier are repeated; of
+    the others, those whose k-gram has several are asked for."""
     parts = [_unpack(x) for x in table.column("data").to_pylist()]
     shift, every = 0, []
     for docs, rows in parts:
@@ -268,13 +272,17 @@ def _resolve(table: pa.Table) -> pa.Table:
         shift += len(docs)
         every.append(rows)
     docs, rows = np.concatenate([d for d, _ in parts]), np.concatenate(every)
-    rows = rows[np.argsort(rows["gram"], kind="stable")]
-    same = rows["gram"][1:] == rows["gram"][:-1]
-    met = np.zeros(len(rows), bool)
-    met[1:] |= same
-    met[:-1] |= same
-    rows = rows[met & (rows["asked"] == 0)]
-    return _asks(docs, rows, rows["place"].astype(np.int64) - rows["before"])
+    docs, renumbered = np.unique(docs, return_inverse=True)  # sorted by id, then digest
+    rows["doc"] = renumbered[rows["doc"]]
+    rows = rows[np.lexsort((rows["place"], rows["doc"], rows["more"], rows["before"], rows["around"], rows["asked"], rows["gram"]))]
+    changed = lambda *names: np.concatenate(([True], np.any([rows[c][1:] != rows[c][:-1] for c in names], axis=0)))
+    gram = np.cumsum(changed("gram")) - 1
+    first = changed("gram", "asked", "around", "before", "more")
+    several = np.bincount(gram, weights=first)[gram] > 1
+    begin = rows["place"].astype(np.int64) - rows["before"]
+    later, asked = ~first & (rows["asked"] == 0), first & several & (rows["asked"] == 0)
+    ranges = _ranges(docs, rows["doc"][later], begin[later], begin[later] + rows["more"][later] + LENGTH)
+    return pa.concat_tables([ranges, _asks(docs, rows[asked], begin[asked])])
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

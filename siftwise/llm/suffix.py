@@ -132,8 +132,8 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, ...]:
 
 _FOUND = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("begin", pa.int32()), ("end", pa.int32()), ("place", pa.int32()), ("gram", pa.int64())])
 _FOUND_SQL = "kind int, bucket int, data binary, doc_id long, digest long, begin int, end int, place int, gram long"
-#: Kinds of rows: packed anchors for a bucket, a repeated range, an anchor whose surroundings are asked for, an anchor dealt again.
-ANCHORS, REPEATED, ASKED, DEALT = 0, 1, 2, 3
+#: Kinds of rows: packed anchors for a bucket, a repeated range, an anchor whose surroundings are asked for, surroundings to be sorted, those of a common k-gram.
+ANCHORS, REPEATED, ASKED, DEALT, COMMON = 0, 1, 2, 3, 4
 _ANCHOR = np.dtype([("gram", "<u8"), ("around", "<u8"), ("doc", "<u4"), ("place", "<u4"), ("before", "u1"), ("more", "u1"), ("asked", "u1")])
 _DOC = np.dtype([("id", "<i8"), ("digest", "<i8")])
 
@@ -305,7 +305,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         rows = []
         for doc, digest, text, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            rows += [(DEALT, a["gram"], 0, OFFSETS, doc, digest, a["begin"], a["end"], a["place"], text[a["begin"] : a["end"]]) for a in asked]
+            rows += [(a["kind"], a["gram"], 0, OFFSETS, doc, digest, a["begin"], a["end"], a["place"], text[a["begin"] : a["end"]]) for a in asked]
             if len(rows) > 20_000:
                 yield _piece_rows(rows)
                 rows = []
@@ -380,7 +380,7 @@ def _common_keys(pieces: DataFrame, scratch: Scratch, limit: int) -> DataFrame:
         tasks = max(1, pieces.count() // (4 * limit))
         local = scratch.save(pieces.coalesce(tasks).sortWithinPartitions("key").mapInArrow(_firsts(limit), _PIECE_SQL))
         here = local.filter(F.col("kind") == REPEATED)
-        dealt = scratch.save(local.filter(F.col("kind") == DEALT).mapInArrow(_narrowed(width), _PIECE_SQL))
+        dealt = scratch.save(local.filter(F.col("kind") != REPEATED).mapInArrow(_narrowed(width), _PIECE_SQL))
         counts = dealt.groupBy("key").count().filter("count > 1")
         counts = scratch.save(counts)
         some = dealt.join(counts.filter(F.col("count") <= limit).select("key"), "key")
@@ -597,15 +597,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     common = scratch.save(counts)
     n_common = common.agg(F.sum("count")).first()[0] or 0
 
-    def pieces(some: DataFrame) -> DataFrame:
-        per_doc = some.groupBy(*key).agg(F.collect_list(F.struct("gram", "begin", "end", "place")).alias("asked"))
-        return rows.join(per_doc, key).select(*key, "text", "asked").mapInArrow(_cut, _PIECE_SQL)
-
-    few = asked.join(common.select("gram"), "gram", "left_anti") if n_common else asked
-    edges = _sorted(pieces(few), GROUP_SUFFIXES, asked.count() - n_common)
+    marked = asked.withColumn("kind", F.lit(DEALT))
+    if n_common:
+        marked = asked.join(common.select(F.col("gram").alias("_gram")), F.col("gram") == F.col("_gram"), "left")
+        marked = marked.withColumn("kind", F.when(F.col("_gram").isNull(), DEALT).otherwise(COMMON)).drop("_gram")
+    per_doc = marked.groupBy(*key).agg(F.collect_list(F.struct("kind", "gram", "begin", "end", "place")).alias("asked"))
+    # texts are shuffled once for both ways
+    pieces = scratch.save(rows.join(per_doc, key).select(*key, "text", "asked").mapInArrow(_cut, _PIECE_SQL))
+    scratch.release()
+    edges = _sorted(pieces.filter(F.col("kind") == DEALT), GROUP_SUFFIXES, asked.count() - n_common)
     if n_common:
-        hot = scratch.save(pieces(asked.join(common.select("gram"), "gram", "left_semi")))
-        edges = edges.unionByName(_common_keys(hot, scratch, GROUP_SUFFIXES))
+        edges = edges.unionByName(_common_keys(pieces.filter(F.col("kind") == COMMON), scratch, GROUP_SUFFIXES))
     edges = scratch.save(edges)
     scratch.release()
     ranges = found.filter(F.col("kind") == REPEATED).select("doc_id", "digest", "begin", "end").unionByName(edges)

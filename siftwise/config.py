@@ -19,7 +19,7 @@ class TransferConfig:
     """filter_type, pass_mode, heuristic: see CHOICES. flip_roots matters to join_order only.
 
     profiling and the two displays print text. gate leaves out filters that cannot pay: those built from a table
-    that nothing has reduced, and those for a table under min_probe_bytes. Bloom filters are not built from more than
+    that nothing has reduced, those for a table under min_probe_bytes, and those for a table smaller than the one that would be read for them. Bloom filters are not built from more than
     max_keys distinct keys, where they would no longer be small enough to send everywhere.
     """
 
@@ -31,8 +31,8 @@ class TransferConfig:
     display_dag: bool = False
     display_physical_dag: bool = False
     gate: bool = True
-    min_probe_bytes: int = 1 << 30
-    max_keys: int = 4_000_000
+    min_probe_bytes: int = 1 << 28
+    max_keys: int = 32_000_000
 
     def __post_init__(self) -> None:
         for name, allowed in CHOICES.items():

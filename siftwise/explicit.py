@@ -27,7 +27,7 @@ class NamedTable(TableState):
     """A DataFrame; key columns are (name, type)."""
 
     def __init__(self, name: str, df: DataFrame, size: int, filtered: bool):
-        super().__init__(name, size, filtered, False)
+        super().__init__(name, size, filtered, False, size)
         self.df = df
 
     def key(self, column) -> tuple[Column, str]:

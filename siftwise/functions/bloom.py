@@ -8,6 +8,8 @@ from pyspark.sql.internal import InternalFunction
 
 #: Bits for each key, the fewest bits, and the most that Spark builds.
 BITS_PER_KEY, LEAST_BITS, MOST_BITS = 12, 512, 1 << 26
+#: Keys of one filter; more are dealt to several by their hashes.
+PIECE_KEYS = 4_000_000
 #: Filters of more bytes are not written into the plan, whose text would grow with them, but read by a subquery.
 LITERAL_BYTES = 1 << 16
 
@@ -17,6 +19,15 @@ def bits_for(keys: int) -> int:
     return min(MOST_BITS, 1 << (max(LEAST_BITS, BITS_PER_KEY * keys) - 1).bit_length())
 
 
+def pieces_for(keys: int) -> int:
+    """A power of two, so that few plans differ."""
+    return 1 << (max(0, keys - 1) // PIECE_KEYS).bit_length()
+
+
+def piece_of(hashes: Column, pieces: int) -> Column:
+    return F.pmod(hashes, F.lit(pieces)).cast("int")
+
+
 def key_hash(*keys: Column) -> Column:
     """Both sides of a join must be cast to one type before."""
     return F.xxhash64(*keys)

@@ -1,8 +1,9 @@
 """Builds filters from key columns and turns them into predicates.
 
-A build is one aggregate over a table's keys (count, least, greatest), and, if they are few enough, a Bloom filter for
-each key over its distinct values: those are few after the map-side distinct, so partial filters
-come from few tasks however many the table has.
+A build of a table of few rows is one aggregate over its keys: count, least, greatest and a Bloom filter for each. For other tables
+the first aggregate counts distinct keys too, and, if they are few enough, Bloom filters are made in a second one over the
+distinct keys: those are few after the map-side distinct, so partial filters come from few tasks however many the table has.
+Many keys are dealt by their hash to several filters, none of which is larger than Spark can build.
 """
 
 from __future__ import annotations
@@ -16,21 +17,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwise.config import TransferConfig
-from siftwise.functions.bloom import bloom_aggregate, key_hash, might_contain
+from siftwise.functions.bloom import bloom_aggregate, key_hash, might_contain, piece_of, pieces_for
 
 #: Types whose range is kept.
 RANGED = ("TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT", "DOUBLE", "DATE", "TIMESTAMP", "TIMESTAMP_NTZ", "STRING")
+#: Tables of at most so many rows, by estimate, are built from in one job. They have few tasks, so few partial filters are sent.
+ONE_JOB_ROWS = 2_000_000
 
 
 @dataclass
 class KeyFilter:
-    """What is known of the keys of one column: its type, its number of rows and distinct values, range and Bloom filter."""
+    """What is known of the keys of one column: its type, its number of rows, range and Bloom filters, one for each piece of the hashes."""
 
     type: str
     rows: int
     low: object = None
     high: object = None
-    bloom: bytes | None = None
+    blooms: tuple[bytes | None, ...] = ()
 
     def predicate(self, spark: SparkSession, key: Column) -> Column | None:
         """A test that each joining row passes. Null keys never join."""
@@ -40,11 +43,18 @@ class KeyFilter:
         key = key.cast(self.type)
         if self.low is not None:
             test = key.between(_literal(self.low, self.type), _literal(self.high, self.type))
-        if self.bloom is not None:
-            found = might_contain(spark, self.bloom, key_hash(key))
+        if self.blooms:
+            found = self._found(spark, key_hash(key))
             test = found if test is None else test & found
         return None if test is None else key.isNotNull() & test
 
+    def _found(self, spark: SparkSession, hashes: Column) -> Column:
+        tests = [F.lit(False) if b is None else might_contain(spark, b, hashes) for b in self.blooms]
+        found, piece = tests[-1], piece_of(hashes, len(tests))
+        for i in reversed(range(len(tests) - 1)):
+            found = F.when(piece == i, tests[i]).otherwise(found)
+        return found
+
 
 @dataclass
 class BuildRecord:
@@ -70,8 +80,23 @@ def _literal(value, type_: str) -> Column:
     return F.timestamp_micros(F.lit(value)) if type_ == "TIMESTAMP" else F.lit(value).cast(type_)
 
 
-def build_filters(spark: SparkSession, rows: DataFrame, keys: Sequence[tuple[Column, str]], config: TransferConfig) -> tuple[list[KeyFilter], int]:
-    """A filter for each (key column, type) of a table's rows, and the microseconds that it took."""
+def _blooms(own: DataFrame, key: str, distinct: int) -> tuple[bytes | None, ...]:
+    """Filters of the key's distinct values, at most pieces_for(max_keys) of them and 8 MiB each."""
+    pieces = pieces_for(distinct)
+    hashes = key_hash(F.col(key))
+    own = own.select(key).filter(F.col(key).isNotNull()).distinct()
+    made = bloom_aggregate(hashes, -(-distinct // pieces)).alias("b")
+    if pieces == 1:
+        return (bytes(own.agg(made).first()["b"]),)
+    found = {r["p"]: bytes(r["b"]) for r in own.groupBy(piece_of(hashes, pieces).alias("p")).agg(made).collect()}
+    return tuple(found.get(p) for p in range(pieces))
+
+
+def build_filters(
+    spark: SparkSession, rows: DataFrame, keys: Sequence[tuple[Column, str]], config: TransferConfig, estimate: int | None = None
+) -> tuple[list[KeyFilter], int]:
+    """A filter for each (key column, type) of a table's rows, and the microseconds that it took. `estimate`: of the rows;
+    too low a one costs a second job."""
     begun = time.perf_counter()
     ranges = config.filter_type != "bf_only"
     blooms = config.filter_type != "minmax_only"
@@ -81,15 +106,23 @@ def build_filters(spark: SparkSession, rows: DataFrame, keys: Sequence[tuple[Col
     for i, (_, t) in enumerate(keys):
         if ranges and t in RANGED:
             asked += [_kept(F.min(f"k{i}"), t).alias(f"low{i}"), _kept(F.max(f"k{i}"), t).alias(f"high{i}")]
-    asked += [F.approx_count_distinct(f"k{i}", 0.05).alias(f"d{i}") for i in range(len(keys))] if blooms else []
+    few = blooms and estimate is not None and estimate <= min(ONE_JOB_ROWS, config.max_keys)
+    for i in range(len(keys) if blooms else 0):
+        key = F.col(f"k{i}")
+        made = bloom_aggregate(F.when(key.isNotNull(), key_hash(key)), estimate) if few else F.approx_count_distinct(key, 0.05)
+        asked.append(made.alias(f"b{i}"))
     told = table.agg(*asked).first().asDict()
     found = [KeyFilter(t, told[f"n{i}"], told.get(f"low{i}"), told.get(f"high{i}")) for i, (_, t) in enumerate(keys)]
-    if blooms:
-        for i, f in enumerate(found):
-            distinct = int(told[f"d{i}"] * 1.15) + 16  # the count is approximate
-            if f.rows and distinct <= config.max_keys:
-                own = table.select(f"k{i}").filter(F.col(f"k{i}").isNotNull()).distinct()
-                f.bloom = bytes(own.agg(bloom_aggregate(key_hash(F.col(f"k{i}")), distinct).alias("b")).first()["b"])
+    for i, f in enumerate(found if blooms else []):
+        if not f.rows:
+            continue
+        if few and f.rows <= 2 * max(1, estimate):
+            f.blooms = (bytes(told[f"b{i}"]),)
+            continue
+        distinct = table.agg(F.approx_count_distinct(f"k{i}", 0.05)).first()[0] if few else told[f"b{i}"]
+        distinct = int(distinct * 1.15) + 16  # the count is approximate
+        if distinct <= config.max_keys:
+            f.blooms = _blooms(table, f"k{i}", distinct)
     return found, int((time.perf_counter() - begun) * 1e6)
 
 

@@ -27,8 +27,8 @@ log = logging.getLogger(__name__)
 class TableState:
     """A table's rows as far as filters have reduced them. Subclasses say how keys become columns."""
 
-    def __init__(self, name: str, size: int, filtered: bool, barrier: bool):
-        self.name, self.size, self.filtered, self.barrier = name, size, filtered, barrier
+    def __init__(self, name: str, size: int, filtered: bool, barrier: bool, estimate: int | None = None):
+        self.name, self.size, self.filtered, self.barrier, self.estimate = name, size, filtered, barrier, estimate
         self.predicate: Column | None = None
         self.version = 0
         self.filters: dict[tuple, KeyFilter] = {}
@@ -51,7 +51,7 @@ class PlanTable(TableState):
     """A table of a Catalyst plan; key columns are (expression id, type)."""
 
     def __init__(self, spark: SparkSession, leaf: Leaf):
-        super().__init__(leaf.name, leaf.size, leaf.filtered, leaf.barrier)
+        super().__init__(leaf.name, leaf.size, leaf.filtered, leaf.barrier, leaf.rows)
         self.spark, self.leaf = spark, leaf
 
     def key(self, column) -> tuple[Column, str]:
@@ -100,6 +100,8 @@ def _wanted(step: Step, tables: dict[int, TableState], config: TransferConfig) -
         return f"nothing has reduced {build.name}"
     if config.gate and probe.size < config.min_probe_bytes:
         return f"{probe.name} is small"
+    if config.gate and build.size > probe.size:
+        return f"{build.name} is larger than {probe.name}"
     return ""
 
 
@@ -122,9 +124,9 @@ def perform(spark: SparkSession, transfer: Transfer, config: TransferConfig, pro
             columns = [c for c in dict.fromkeys(x for s in steps for x, _ in s.pairs) if (c, state.version) not in state.filters]
             if not columns:
                 return
-            found, micros = build_filters(spark, state.rows(), [state.key(c) for c in columns], config)
+            found, micros = build_filters(spark, state.rows(), [state.key(c) for c in columns], config, state.estimate)
             state.filters |= {(c, state.version): f for c, f in zip(columns, found, strict=True)}
-            kinds = " and ".join(k for k, has in (("Bloom", any(f.bloom for f in found)), ("range", any(f.low is not None for f in found))) if has)
+            kinds = " and ".join(k for k, has in (("Bloom", any(f.blooms for f in found)), ("range", any(f.low is not None for f in found))) if has)
             profile.builds.append(BuildRecord(state.name, len(columns), max(f.rows for f in found), micros, kinds or "count", steps[0].forward, [tables[s.probe].name for s in steps]))
 
         in_parallel([lambda t=t, s=s: build(t, s) for t, s in wanted.items()])

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from siftwise import queries as core
 from siftwise.config import TransferConfig
 from siftwise.explicit import TransferGraph
+from siftwise.functions import bloom
 from siftwise.functions.bloom import bits_for
 from siftwise.harness import canonical, compare, summary
+from siftwise.operators import filters
 from siftwise.session import TransferSession, always
 
 DATA = "/root/testdata/sf0.001"
@@ -69,6 +71,30 @@ def test_gate_leaves_out_what_cannot_pay(spark):
     assert not session.profile.builds
 
 
+def test_gate_looks_at_what_a_build_reads(spark):
+    core.register_tables(spark, DATA, core.BIG)
+    session = TransferSession(spark, min_probe_bytes=0)
+    session.sql(core.QUERIES["q5_region_revenue"].sql)
+    assert session.profile.builds and any("lineitem is larger than" in x for x in session.profile.skipped)
+
+
+def test_keys_are_dealt_to_several_filters(spark, monkeypatch):
+    assert [bloom.pieces_for(n) for n in (0, 4_000_000, 4_000_001, 8_000_001, 32_000_000)] == [1, 1, 2, 4, 8]
+    monkeypatch.setattr(bloom, "PIECE_KEYS", 100)
+    rows = spark.range(0, 4000, 2).selectExpr("id AS k").unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS k"))
+    config = TransferConfig(filter_type="bf_only")
+    for estimate, pieces in ((None, 32), (5000, 1), (10, 32)):  # the last is far too low
+        (found,), _ = filters.build_filters(spark, rows, [(F.col("k"), "BIGINT")], config, estimate)
+        assert len(found.blooms) == pieces and found.rows == 2000
+        probe = spark.range(4000).selectExpr("id AS k")
+        kept = {r["k"] for r in probe.filter(found.predicate(spark, F.col("k"))).collect()}
+        assert set(range(0, 4000, 2)) <= kept and len(kept) < 2200
+    # a piece without keys lets nothing through
+    (found,), _ = filters.build_filters(spark, spark.range(1).selectExpr("id AS k"), [(F.col("k"), "BIGINT")], config)
+    found.blooms = (*found.blooms, None)
+    assert spark.range(1).selectExpr("id AS k").filter(found.predicate(spark, F.col("k"))).count() <= 1
+
+
 def test_preserved_rows_are_kept(spark):
     spark.createDataFrame([(1, 10), (2, 20), (None, 30), (4, 40)], "k int, v int").createOrReplaceTempView("hz_a")
     spark.createDataFrame([(1, 7), (2, 8), (9, 9)], "k int, w int").createOrReplaceTempView("hz_b")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import threading
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +21,8 @@ from siftwise.functions.bloom import bloom_aggregate, key_hash, might_contain, p
 
 #: Types whose range is kept.
 RANGED = ("TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT", "DOUBLE", "DATE", "TIMESTAMP", "TIMESTAMP_NTZ", "STRING")
+#: A build that keeps more than this share of its table's rows is not worth a filter.
+MOST_KEPT = 0.8
 #: Tables of at most so many rows, by estimate, are built from in one job. They have few tasks, so few partial filters are sent.
 ONE_JOB_ROWS = 2_000_000
 
@@ -34,6 +36,7 @@ class KeyFilter:
     low: object = None
     high: object = None
     blooms: tuple[bytes | None, ...] = ()
+    dull: bool = False
 
     def predicate(self, spark: SparkSession, key: Column) -> Column | None:
         """A test that each joining row passes. Null keys never join."""
@@ -93,10 +96,12 @@ def _blooms(own: DataFrame, key: str, distinct: int) -> tuple[bytes | None, ...]
 
 
 def build_filters(
-    spark: SparkSession, rows: DataFrame, keys: Sequence[tuple[Column, str]], config: TransferConfig, estimate: int | None = None
+    spark: SparkSession, rows: DataFrame, keys: Sequence[tuple[Column, str]], config: TransferConfig, estimate: int | None = None,
+    whole: Callable[[], int | None] = lambda: None,
 ) -> tuple[list[KeyFilter], int]:
     """A filter for each (key column, type) of a table's rows, and the microseconds that it took. `estimate`: of the rows;
-    too low a one costs a second job."""
+    too low a one costs a second job. `whole` counts the
+    table before any reduction; filters of builds that keep most of it are marked dull and get no Bloom filter of their own job."""
     begun = time.perf_counter()
     ranges = config.filter_type != "bf_only"
     blooms = config.filter_type != "minmax_only"
@@ -113,6 +118,12 @@ def build_filters(
         asked.append(made.alias(f"b{i}"))
     told = table.agg(*asked).first().asDict()
     found = [KeyFilter(t, told[f"n{i}"], told.get(f"low{i}"), told.get(f"high{i}")) for i, (_, t) in enumerate(keys)]
+    most = max(f.rows for f in found)
+    total = whole() if config.gate and most else None
+    if total and most > MOST_KEPT * total:
+        for f in found:
+            f.dull = True
+        return found, int((time.perf_counter() - begun) * 1e6)
     for i, f in enumerate(found if blooms else []):
         if not f.rows:
             continue

@@ -46,6 +46,10 @@ class TableState:
     def label(self, column) -> str:
         raise NotImplementedError
 
+    def whole(self) -> int | None:
+        """The rows of the table before any reduction, if they are cheap to count."""
+        return None
+
 
 class PlanTable(TableState):
     """A table of a Catalyst plan; key columns are (expression id, type)."""
@@ -63,6 +67,13 @@ class PlanTable(TableState):
     def label(self, column) -> str:
         return self.leaf.attributes[column[0]].name()
 
+    def whole(self) -> int | None:
+        """No column is read, so Parquet's footers tell the count."""
+        node = self.leaf.node
+        while node.children().size() == 1:
+            node = node.children().apply(0)
+        return frame(self.spark, node).count() if node.children().isEmpty() else None
+
 
 @dataclass
 class Transfer:
@@ -124,7 +135,7 @@ def perform(spark: SparkSession, transfer: Transfer, config: TransferConfig, pro
             columns = [c for c in dict.fromkeys(x for s in steps for x, _ in s.pairs) if (c, state.version) not in state.filters]
             if not columns:
                 return
-            found, micros = build_filters(spark, state.rows(), [state.key(c) for c in columns], config, state.estimate)
+            found, micros = build_filters(spark, state.rows(), [state.key(c) for c in columns], config, state.estimate, state.whole)
             state.filters |= {(c, state.version): f for c, f in zip(columns, found, strict=True)}
             kinds = " and ".join(k for k, has in (("Bloom", any(f.blooms for f in found)), ("range", any(f.low is not None for f in found))) if has)
             profile.builds.append(BuildRecord(state.name, len(columns), max(f.rows for f in found), micros, kinds or "count", steps[0].forward, [tables[s.probe].name for s in steps]))
@@ -134,6 +145,10 @@ def perform(spark: SparkSession, transfer: Transfer, config: TransferConfig, pro
         for s in (s for steps in wanted.values() for s in steps):
             probe, source = tables[s.probe], tables[s.build]
             tests = []
+            if any(source.filters[x, versions[s.build]].dull for x, _ in s.pairs):
+                profile.skipped.append(f"{source.name} -> {probe.name}: {source.name} keeps most of its rows")
+                transfer.used[s.sequence] = f"skipped: {source.name} keeps most of its rows"
+                continue
             for x, y in s.pairs:
                 key, _ = probe.key(y)
                 test = source.filters[x, versions[s.build]].predicate(spark, key)

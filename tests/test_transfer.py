@@ -78,6 +78,15 @@ def test_gate_looks_at_what_a_build_reads(spark):
     assert session.profile.builds and any("lineitem is larger than" in x for x in session.profile.skipped)
 
 
+def test_builds_that_keep_most_rows_are_not_used(spark):
+    core.register_tables(spark, DATA, core.BIG)
+    sql = "SELECT count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > {}"
+    for least, used in ((-1e6, 0), (9000, 2)):
+        session = TransferSession(spark, min_probe_bytes=0)
+        assert session.sql(sql.format(least)).collect() == spark.sql(sql.format(least)).collect()
+        assert len(session.profile.uses) == used, session.profile.skipped
+
+
 def test_keys_are_dealt_to_several_filters(spark, monkeypatch):
     assert [bloom.pieces_for(n) for n in (0, 4_000_000, 4_000_001, 8_000_001, 32_000_000)] == [1, 1, 2, 4, 8]
     monkeypatch.setattr(bloom, "PIECE_KEYS", 100)

@@ -68,3 +68,29 @@ def test_null_ids_and_empty_table(spark):
     rows = embeddings.near_vectors(df).collect()
     assert sorted((r["n_links"], r["component_id"]) for r in rows) == [(2, 3), (2, 3), (2, 3)]
     assert embeddings.near_vectors(df.limit(0)).count() == 0
+
+
+def test_crowded_region(spark):
+    """Over ten blocks; a third of all vectors lie in one region below the threshold, with pairs right above it."""
+    draw, dim, n = np.random.default_rng(5), 48, 12_000
+    x = draw.standard_normal((n, dim))
+    x[: n // 3] = 1.7 * draw.standard_normal(dim) + x[: n // 3]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for k in range(600):
+        at = draw.integers(n // 3) if k % 2 else n // 3 + draw.integers(n // 3)
+        side = draw.standard_normal(dim)
+        side -= side @ unit[at] * unit[at]
+        cosine = draw.uniform(0.901, 0.93)
+        unit[n - 600 + k] = cosine * unit[at] + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side)
+    unit = unit.astype(np.float32).astype(float)
+    length = np.linalg.norm(unit, axis=1)
+    rows = [(i, v.tolist(), 0, 1) for i, v in enumerate(unit)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, rid int")
+    want = np.zeros(n, int)
+    for k in range(0, n, 1000):
+        want[k : k + 1000] = ((unit[k : k + 1000] @ unit.T) / length[k : k + 1000, None] / length >= 0.9).sum(axis=1) - 1
+    got = np.zeros(n, int)
+    for r in embeddings.near_vectors(df).collect():
+        got[r["vec_id"]] = r["n_links"]
+    assert want.sum() >= 1200 and (got <= want).all()
+    assert got.sum() >= 0.998 * want.sum(), (got.sum(), want.sum())

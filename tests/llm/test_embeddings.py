@@ -54,7 +54,7 @@ def test_windows_are_extended(spark, monkeypatch):
     rows = clusters(seed=2, n=150)
     got, want = found(table(spark, rows)), expected(rows)
     assert {i: x[1:] for i, x in got.items()} == {i: x[1:] for i, x in want.items()}
-    assert sum(x[0] for x in got.values()) >= 0.99 * sum(x[0] for x in want.values())
+    assert sum(x[0] for x in got.values()) >= 0.998 * sum(x[0] for x in want.values())
     assert all(got[i][0] <= want[i][0] for i in want)
 
 

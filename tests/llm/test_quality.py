@@ -83,3 +83,32 @@ def test_fit_against_plain_descent():
 
     raw = z @ model.weights
     assert abs(balanced(model.score(rows) >= 0.5) - max(balanced(raw >= cut) for cut in raw)) < 1e-9
+
+
+def test_all_pairs_are_learned_from():
+    """Where the weights end, the gradient over all 202,500 pairs is nought."""
+    draw = np.random.default_rng(5)
+    rows = draw.standard_normal((900, 5))
+    labels = (rows @ np.array([1.0, -0.5, 0.3, 0, 0]) + draw.standard_normal(900) > 0).astype(int)
+    labels[np.argsort(rows[:, 4])[:450]] = 0
+    model = quality.fit(rows, labels)
+    z = np.clip((rows - rows.mean(0)) / (rows.std(0) + 1e-6), -8, 8)
+    x = (z[labels == 1][:, None, :] - z[labels == 0][None, :, :]).reshape(-1, 5)
+    assert len(x) > 100_000
+    gradient = 1e-3 * model.weights - (x / (1 + np.exp(x @ model.weights))[:, None]).mean(0)
+    assert np.abs(gradient).max() < 1e-5
+
+
+def test_all_labelled_rows_are_learned_from(spark):
+    """More than 20,000 labelled rows: scores as by a fit on all of them at once."""
+    draw = np.random.default_rng(6)
+    ids = [i for i in range(36_000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert len(ids) > 23_000
+    texts = [" ".join("ab!?c1."[draw.integers(7)] * draw.integers(1, 6) for _ in range(draw.integers(1, 8))) for _ in ids]
+    truth = [int(len(t) - 6 * t.count("!") + 8 * draw.standard_normal() > 12) for t in texts]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame(list(zip(ids, truth, strict=True)), "doc_id long, quality int")
+    rows = np.array([quality.features(t) for t in texts], float)
+    model = quality.fit(rows, np.array(truth))
+    found = {r["doc_id"]: r["score"] for r in quality.score_documents(docs, labels).collect()}
+    assert np.abs(model.score(rows) - [found[i] for i in ids]).max() < 1e-6

@@ -186,8 +186,9 @@ def keep_one_of_each(docs: DataFrame, words: int = shingles.WORDS, similarity: f
 
     The row with the least doc_id stays, null doc_ids last; among rows with one doc_id that of the least hash of
     doc_id and text. Rows that share a doc_id but not the text are told apart; of rows equal in both any one stays.
-    Near copies are rows connected by exact Jaccard similarities of their sets of word shingles; op1's fingerprints
-    take no part, as a radius that holds pairs of similarity 0.8 is beyond ball hashing.
+    Near copies are rows connected by exact Jaccard similarities of their sets of word shingles, among those that ball
+    hashing of the sets' SimHash brings together: not op1's one fingerprint of 64 bits, whose four bits are too tight for pairs
+    of similarity 0.8, but several (see shingles.py).
     """
     kept = shingles.near_copies(docs, words, similarity).select(F.col("first.row_key").alias("_kept"))
     rows = docs.select(F.struct("*").alias("_row"), shingles.row_key().alias("_key"))

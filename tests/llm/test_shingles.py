@@ -1,6 +1,9 @@
 import random
 
-from siftwise.llm import simhash
+import numpy as np
+from xxhash import xxh64_intdigest
+
+from siftwise.llm import shingles, simhash
 from tests.llm.helpers import components, corpus, documents
 
 
@@ -68,3 +71,44 @@ def test_rows_and_not_ids_are_kept(spark):
     docs = documents(spark, [text(c) for _, c in rows], ids=[i for i, _ in rows])
     found = [(r["doc_id"], r["text"][0]) for r in simhash.keep_one_of_each(docs).collect()]
     assert sorted(found, key=lambda r: r[1]) == [(None, "a"), (None, "b"), (1, "c"), (1, "d"), (3, "e"), (4, "f")]
+
+
+def hashed(text):
+    return np.array([xxh64_intdigest(s, 42) for s in shingles.shingles(text)], np.uint64)
+
+
+def test_bits_differ_by_the_angle():
+    """Fingerprints are SimHash: pairs of sets differ in about the share angle / pi of their bits, sets of four or five shingles too."""
+    draw = random.Random(7)
+    short = [" ".join(f"w{draw.randrange(10**6)}" for _ in range(9)) for _ in range(100)]
+    for texts in (pairs(draw, 60, 6), [t for s in short for t in (s, " ".join(s.split()[:-1]))]):
+        differ, expected = [], []
+        for a, b in zip(texts[::2], texts[1::2], strict=True):
+            (x, p), (y, q) = shingles.fingerprints(hashed(a)), shingles.fingerprints(hashed(b))
+            bits = np.bitwise_count(x ^ y).sum(dtype=int) + np.bitwise_count((p ^ q).view("u8")).sum(dtype=int)
+            differ.append(bits / (shingles.TABLES * 30 + 128))
+            s, t = shingles.shingles(a), shingles.shingles(b)
+            expected.append(np.arccos(len(s & t) / (len(s) * len(t)) ** 0.5) / np.pi)
+        assert abs(np.mean(differ) - np.mean(expected)) < 0.015
+
+
+def test_ball_hashing_against_brute_force(spark, monkeypatch):
+    """All that meet in a table share a key, in crowds and over several passes too."""
+    draw = random.Random(8)
+    base = [f"b{k}" for k in range(200)]
+    texts = pairs(draw, 40, 5) + [edited(draw, base, 2) for _ in range(30)]
+    monkeypatch.setattr(shingles, "CROWD", 3)
+    monkeypatch.setattr(shingles, "VARIANTS", 64)
+    prints = [shingles.fingerprints(hashed(t)) for t in texts]
+    rows = spark.createDataFrame([(i, p.tolist(), c.tolist()) for i, (p, c) in enumerate(prints)], "rid long, prints array<int>, check array<long>")
+    keys = {}
+    for r in shingles.meetings(rows).collect():
+        keys.setdefault(r["rid"], set()).add(r["key"])
+    met = 0
+    for b, (q, d) in enumerate(prints):
+        for a, (p, c) in enumerate(prints[:b]):
+            x = p ^ q
+            meet = ((x >> 24 == 0) & (np.bitwise_count(x) <= 2)).any() and np.bitwise_count((c ^ d).view("u8")).sum(dtype=int) <= 40
+            met += meet
+            assert not meet or keys[a] & keys[b]
+    assert met > 300
